@@ -11,6 +11,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicate
+
+    return deduplicate(_table(spark, sf_dir, "documents"), length=200)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    return encode(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.85)
+    return out.withColumnRenamed("_id", "doc_id").select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -23,6 +42,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    out = find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.drop("items", "spans")
+
+
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_dedup import deduplicate
+
+    return deduplicate(_table(spark, sf_dir, "documents"), length=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
