@@ -193,7 +193,10 @@ def _small(batch: pa.RecordBatch, percent: int) -> Iterator[dict]:
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(_id, _th, n_shingles, component_id, kept) for every row of ``docs``: _th is xxhash64 of its text."""
+    """(_id, _th, n_shingles, component_id, component, kept) for every row of ``docs``.
+
+    _th is xxhash64 of its text; component names its component, and is null for the empty set.
+    """
     spark = docs.sparkSession
     percent, (bands, width) = round(100 * similarity), banding(similarity)
     rows = keyed(docs, text=text, doc_id=doc_id)
@@ -228,5 +231,5 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int =
     label = F.when(F.col("n") > 0, F.coalesce("label", "node"))
     placed = signed.join(labels, "node", "left").select("_id", "_th", F.col("n").alias("n_shingles"), label.alias("label"))
     first = placed.where("label is not null").groupBy("label").agg(F.min("_id").alias("first"))
-    out = placed.join(first, "label", "left").select("_id", "_th", "n_shingles", F.coalesce("first", "_id").alias("component_id"))
+    out = placed.join(first, "label", "left").select("_id", "_th", "n_shingles", F.coalesce("first", "_id").alias("component_id"), F.col("label").alias("component"))
     return out.withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -100,3 +100,56 @@ def op10(rows, length=50):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((i, len(w), sum(gone), sha(kept)))
     return out
+
+
+def op8(rows, min_lines=2, min_chars=40):
+    """Later copies of runs: an earlier place is in a smaller doc_id, or further up in the same row."""
+    def split(t):
+        x = (t or "").split("\n")
+        return x[:-1] if x and x[-1] == "" else x
+
+    docs = [(i, split(t), t or "") for i, t in rows]
+
+    def runs(lines):
+        for length in {1, min_lines}:
+            for j in range(len(lines) - length + 1):
+                part = tuple(lines[j : j + length])
+                if length == 1 and len(part[0]) >= min_chars and part[0].strip(" \t\x0b\x0c\r"):
+                    yield j, part
+                elif length > 1 and any(x.strip(" \t\x0b\x0c\r") for x in part):
+                    yield j, part
+
+    first = {}
+    for i, lines, _ in docs:
+        if i is not None:
+            for _, part in runs(lines):
+                first[part] = min(first.get(part, i), i)
+    out = []
+    for i, lines, text in docs:
+        gone, seen = [False] * len(lines), set()
+        for j, part in sorted(runs(lines), key=lambda x: (x[0], len(x[1]))):
+            if part in seen or (i is not None and first[part] < i):
+                gone[j : j + len(part)] = [True] * len(part)
+            seen.add(part)
+        kept = text
+        if any(gone):
+            tail = text.split("\n")[len(lines) :]
+            kept = "" if all(gone) else "\n".join([x for x, g in zip(lines, gone) if not g] + tail)
+        starts = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(lines), sum(gone), starts, sha(kept)))
+    return out
+
+
+def op3_base(rows, folds=7, held=2):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score by plain counting."""
+    import math
+    import zlib
+    from collections import Counter
+
+    def fold(i):
+        return zlib.crc32(("" if i is None else str(i)).encode()) % folds == held
+
+    toks = [(i, SPACE_WORD.findall((t or "").translate(LOWER)) + [None]) for i, t in rows]
+    counts = Counter(w for i, ws in toks if not fold(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    return [(i, fold(i), len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks]
