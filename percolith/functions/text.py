@@ -11,6 +11,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 METAL_WORDS = ("yes", "true", "metal", "1")
 BIBTEX_KEY = r"(?i)@\w+\s*\{\s*([^,\s]+)"
@@ -133,7 +134,7 @@ def reduce_formula(formula: str | None) -> str | None:
     return "".join(k + (str(n // divisor) if n != divisor else "") for k, n in whole.items())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def reduced_formula(x: pd.Series) -> pd.Series:
     return x.map(reduce_formula)
 
@@ -143,12 +144,12 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(x: pd.Series) -> pd.Series:
     """Canonical form of a JSON text."""
     return x.map(lambda t: None if t is None else canonical(json.loads(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_sha256(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else hashlib.sha256(canonical(json.loads(t)).encode()).hexdigest())

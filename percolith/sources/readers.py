@@ -176,7 +176,7 @@ def normalise_elements(df: DataFrame, symbol: str, numbers: dict[str, str], meta
 
 def bibtex_entries(spark: SparkSession, path: str) -> DataFrame:
     """(key, kind, entry) of a BibTeX file; an entry runs to the next line that starts with @."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     parts = df.select(F.posexplode(F.expr(r"filter(split(value, '(?m)(?=^@)'), x -> startswith(trim(x), '@'))")).alias("place", "entry"))
     return parts.select("place", F.regexp_extract("entry", T.BIBTEX_KEY, 1).alias("key"), F.lower(F.regexp_extract("entry", r"@(\w+)", 1)).alias("kind"), F.trim("entry").alias("entry"))
 
@@ -253,11 +253,11 @@ def load_structures(spark: SparkSession, path: str) -> DataFrame:
     """(path, structure) of CIF and POSCAR files, parsed on the executors."""
     from ..schemas import STRUCTURE
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
     def run(tables: Iterable[pd.DataFrame]):
         for t in tables:
-            parsed = [parse_cif(x) if p.lower().endswith(".cif") or "_cell_length_a" in x else parse_poscar(x) for p, x in zip(t["path"], t["text"], strict=True)]
+            parsed = [parse_cif(x) if "_cell_length_a" in x else parse_poscar(x) for x in t["text"]]
             yield pd.DataFrame({"path": t["path"], "structure": parsed})
 
     out = files.mapInPandas(run, f"path string, structure {STRUCTURE.simpleString()}")
