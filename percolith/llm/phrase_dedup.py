@@ -10,10 +10,10 @@ smaller doc_id is removed.
    smallest doc_id over the passages that share its phrase.  Passages are dealt by phrase; the windows
    of a phrase with over ``HOT`` passages are counted by digest with partial sums instead, which no key
    can skew.
-3. Documents are dealt to buckets of about ``BUCKET_BYTES``, and each bucket gets the confirmed passages
-   that its documents hold.  The bucket's phrases are compiled into one automaton and its documents are
-   streamed through it; at every occurrence of a phrase the passages are compared in full, and the words
-   of windows that an earlier document has are removed.
+3. Documents are dealt to buckets of about ``BUCKET_BYTES``, and each bucket is told which confirmed
+   passages its documents hold.  The bucket's phrases are compiled into one automaton and its documents
+   are streamed through it; at every occurrence of a phrase the passages are compared in full, and the
+   words of windows that an earlier document has are removed.
 
 Edge cases: null has no words; a document under ``length`` words is kept whole.  A row without doc_id has
 no earlier document and is earlier than none.  Rows that share a doc_id are not earlier than each other.
@@ -35,9 +35,9 @@ from ._text import Block, Words, anchored_runs, blocks, ranges, spans_hash
 LENGTH = 50
 PHRASE = 8
 HOT = 512
-#: Bytes of documents in a bucket, and of passages in a shard.
+#: Bytes of documents in a bucket, and passages in a shard.
 BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 8 << 20
+SHARD_PASSAGES = 20_000
 
 
 class Runs:
@@ -56,9 +56,6 @@ class Runs:
         self.doc = np.searchsorted(words.first, lo, side="right") - 1
         self.digest = spans_hash(words.hash, lo, self.end, 1)
 
-    def passage(self, raw: bytes, i: int) -> bytes:
-        return b" ".join(raw[self.words.starts[self.lo[i]] : self.words.ends[self.end[i] - 1]].split())
-
 
 def _phrases(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
     ids = batch.column("_id").to_numpy()
@@ -68,33 +65,49 @@ def _phrases(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
         keys.append(runs.key)
         docs.append(ids[block.first + runs.doc])
     key, doc = np.concatenate(keys), np.concatenate(docs)
+    if not len(key):
+        return
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     last = np.r_[at[1:], len(key)] - 1
     yield {"h": key[at], "lo": doc[at], "hi": doc[last]}
 
 
-def _passages(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
-    """Different passages of a batch, with the smallest and largest doc_id that have them."""
+def _distinct(batch: pa.RecordBatch, length: int, *filters) -> Iterator[tuple[Runs, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block its runs that pass a filter, one of each passage, with the smallest and largest doc_id of each."""
     ids = batch.column("_id").to_numpy()
-    seen: dict[tuple[int, int], list] = {}
-    for block in blocks(batch.column("_text")):
-        runs = Runs(block, length, bitmap.value)
-        raw = block.buf.tobytes()
-        doc = ids[block.first + runs.doc].tolist()
-        for i, (h, c) in enumerate(zip(runs.key.view(np.int64).tolist(), runs.digest.view(np.int64).tolist(), strict=True)):
-            if (had := seen.get((h, c))) is None:
-                seen[h, c] = [doc[i], doc[i], int(runs.at[i] - runs.lo[i]), runs.passage(raw, i)]
-            else:
-                had[0], had[1] = min(had[0], doc[i]), max(had[1], doc[i])
-    keys = np.array(list(seen), np.int64).reshape(-1, 2)
-    found = list(seen.values())
-    yield {"h": keys[:, 0], "c": keys[:, 1], **{name: [x[k] for x in found] for k, name in enumerate(("lo", "hi", "at", "passage"))}}
+    for block in blocks(batch.column("_text"), 1 << 20):
+        runs = Runs(block, length)
+        keep = np.flatnonzero(np.logical_or.reduce([passes(f.value, runs.key) for f in filters]))
+        doc = ids[block.first + runs.doc[keep]]
+        order = np.lexsort((doc, runs.digest[keep], runs.key[keep]))
+        keep, doc = keep[order], doc[order]
+        if not len(keep):
+            continue
+        h, c = runs.key[keep], runs.digest[keep]
+        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        yield runs, keep[at], doc[at], doc[np.r_[at[1:], len(h)] - 1]
+
+
+def _passages(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
+    """Passages with the smallest and largest doc_id that have them, and their windows."""
+    for runs, at, lo, hi in _distinct(batch, length, bitmap):
+        yield {"h": runs.key[at], "c": runs.digest[at], "lo": lo, "hi": hi, "n": runs.end[at] - runs.lo[at] - length + 1}
+
+
+def _windowed(batch: pa.RecordBatch, length: int, few, many) -> Iterator[dict]:
+    """Passages of phrases that have several, with a hash of each window (told apart within a phrase only)."""
+    for runs, at, lo, hi in _distinct(batch, length, few, many):
+        n = runs.end[at] - runs.lo[at] - length + 1
+        first = ranges(runs.lo[at], n)
+        w = spans_hash(runs.words.hash, first, first + length, 2).tobytes() if len(first) else b""
+        cuts = 8 * np.r_[0, np.cumsum(n)]
+        yield {"h": runs.key[at], "c": runs.digest[at], "lo": lo, "hi": hi, "crowd": passes(many.value, runs.key[at]), "windows": [w[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]}
 
 
 def _used(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
-    """Which bucket needs which passages."""
+    """Which bucket holds which passages."""
     bucket = batch.column("bucket").to_numpy()
     found = [np.zeros((0, 3), np.int64)]
     for block in blocks(batch.column("_text")):
@@ -116,89 +129,108 @@ def _ranges(firsts: list[int | None]) -> bytes:
     return np.array(out, np.int64).reshape(-1, 3).tobytes()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Smallest doc_id of every window of a partition's passages."""
-    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in ("h", "c", "lo", "hi", "at", "passage")), strict=True)]
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest doc_id of every window of a partition's passages; a phrase has at most ``HOT`` of them."""
+    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in ("h", "c", "lo", "hi", "windows")), strict=True)]
     rows.sort(key=lambda r: r[0])
     out, i = [], 0
     while i < len(rows):
         j = i
         while j < len(rows) and rows[j][0] == rows[i][0]:
             j += 1
-        least: dict[tuple[int, bytes], int] = {}
-        group = [(r, _windows(r[5], length)) for r in rows[i:j]]
-        for r, windows in group:
-            for w in windows:
-                if (had := least.get(w)) is None or r[2] < had:
-                    least[w] = r[2]
-        for r, windows in group:
-            firsts = [least[w] for w in windows]
-            if min(firsts) < r[3]:
-                out.append((r[0], r[1], r[4], r[5], _ranges(firsts)))
+        part = rows[i:j]
+        w = np.frombuffer(b"".join(r[4] for r in part), np.int64)
+        size = np.array([len(r[4]) // 8 for r in part])
+        u, which = np.unique(w, return_inverse=True)
+        least = np.full(len(u), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, np.repeat(np.array([r[2] for r in part], np.int64), size))
+        firsts = np.split(least[which], np.cumsum(size)[:-1])
+        last: dict[int, int] = {}
+        for r in part:
+            last[r[1]] = max(last.get(r[1], r[3]), r[3])
+        done = set()
+        for r, f in zip(part, firsts, strict=True):
+            if r[1] not in done and f.min() < last[r[1]]:
+                out.append((r[0], r[1], _ranges(f.tolist())))
+            done.add(r[1])
         i = j
-    kinds = [("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("passage", pa.binary()), ("firsts", pa.binary())]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], names=[x for x, _ in kinds])
-
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["h", "c", "firsts"])
 
-def _windows(passage: bytes, length: int) -> list[bytes]:
-    words = passage.split(b" ")
-    ends = np.cumsum([len(w) + 1 for w in words])
-    return [passage[(ends[k - 1] if k else 0) : ends[k + length - 1] - 1] for k in range(len(words) - length + 1)]
 
-
-def _hashed_windows(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
-    h, c, lo = (batch.column(k).to_numpy() for k in ("h", "c", "lo"))
-    for block in blocks(batch.column("passage")):
-        words = Words(block, "plain")
-        at, s1 = words.windows(length)
-        doc = np.searchsorted(words.first, at, side="right") - 1
-        row = block.first + doc
-        yield {"h": h[row], "c": c[row], "lo": lo[row], "s1": s1, "s2": words.windows(length, 1)[1], "k": (at - words.first[doc]).astype(np.int32)}
+def _opened(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row for every window of a passage."""
+    w = [np.frombuffer(x, np.int64) for x in batch.column("windows").to_pylist()]
+    n = np.array([len(x) for x in w], np.int64)
+    row = np.repeat(np.arange(len(w)), n)
+    h, c, lo = (batch.column(k).to_numpy()[row] for k in ("h", "c", "lo"))
+    yield {"h": h, "c": c, "lo": lo, "w": np.concatenate([np.zeros(0, np.int64), *w]), "k": ranges(np.zeros(len(n), np.int64), n).astype(np.int32)}
 
 
 def _collected(batch: pa.RecordBatch) -> Iterator[dict]:
     firsts = [_ranges([x["lo"] for x in sorted(found, key=lambda x: x["k"])]) for found in batch.column("found").to_pylist()]
-    yield {k: batch.column(k) for k in ("h", "c", "at", "passage")} | {"firsts": firsts}
+    yield {"h": batch.column("h"), "c": batch.column("c"), "firsts": firsts}
 
 
-def _locate(docs: pa.Table, passages: pa.Table, length: int) -> pa.Table:
-    """One bucket: compile its phrases, stream its documents, remove what earlier documents have."""
+def _whole(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A phrase's only passage: all its windows start in the same first document."""
+    firsts = [_ranges([lo]) if n == 1 else np.array([[0, n, lo]], np.int64).tobytes() for lo, n in zip(batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+    yield {"h": batch.column("h"), "c": batch.column("c"), "firsts": firsts}
+
+
+def _automaton(docs: pa.Table, wanted: dict[tuple[int, int], bytes], length: int):
+    """The automaton of a bucket's confirmed phrases; each leads to its passages, taken from the documents."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for at, passage, firsts in zip(*(passages.column(k).to_pylist() for k in ("at", "passage", "firsts")), strict=True):
-        words = passage.split(b" ")
-        phrase = " " + b" ".join(words[at : at + PHRASE]).decode("latin-1") + " "
-        before = sum(len(w) + 1 for w in words[:at])
-        entry = (" " + passage.decode("latin-1") + " ", before + len(phrase), np.frombuffer(firsts, np.int64).reshape(-1, 3).tolist())
-        if phrase in automaton:
-            automaton.get(phrase).append(entry)
-        else:
-            automaton.add_word(phrase, [entry])
+    automaton, left = ahocorasick.Automaton(), dict(wanted)
+    for block in blocks(docs.column("_text"), 1 << 20) if left else ():
+        runs = Runs(block, length)
+        raw = block.buf.tobytes()
+        for i, key in enumerate(zip(runs.key.view(np.int64).tolist(), runs.digest.view(np.int64).tolist(), strict=True)):
+            if (firsts := left.pop(key, None)) is None:
+                continue
+            words = raw[runs.words.starts[runs.lo[i]] : runs.words.ends[runs.end[i] - 1]].split()
+            at = int(runs.at[i] - runs.lo[i])
+            phrase = " " + b" ".join(words[at : at + PHRASE]).decode("latin-1") + " "
+            back = sum(len(w) + 1 for w in words[:at]) + len(phrase)
+            entry = (" " + b" ".join(words).decode("latin-1") + " ", back, np.frombuffer(firsts, np.int64).reshape(-1, 3).tolist())
+            if phrase in automaton:
+                automaton.get(phrase).append(entry)
+            else:
+                automaton.add_word(phrase, [entry])
     if len(automaton):
         automaton.make_automaton()
+    return automaton
+
+
+def _locate(docs: pa.Table, passages: pa.Table, length: int) -> pa.Table:
+    """One bucket: compile its phrases, stream its documents, remove what earlier documents have."""
+    wanted = dict(zip(zip(passages.column("h").to_pylist(), passages.column("c").to_pylist(), strict=True), passages.column("firsts").to_pylist(), strict=True))
+    automaton = _automaton(docs, wanted, length)
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
     for doc_id, text in zip(docs.column("_id").to_pylist(), docs.column("_text").cast(pa.binary()).to_pylist(), strict=True):
         words = text.split()
+        line = b" ".join(words)
         gone = None
         if len(automaton) and doc_id is not None and len(words) >= length:
-            line = " " + b" ".join(words).decode("latin-1") + " "
-            number = None
-            for end, entries in automaton.iter(line):
+            stream, number = " " + line.decode("latin-1") + " ", None
+            for end, entries in automaton.iter(stream):
                 for passage, back, firsts in entries:
                     start = end + 1 - back
-                    if start >= 0 and line.startswith(passage, start):
+                    if start >= 0 and stream.startswith(passage, start):
                         if number is None:
-                            number = np.cumsum(np.frombuffer(line.encode("latin-1"), np.uint8) == 32) - 1
+                            number = np.cumsum(np.frombuffer(stream.encode("latin-1"), np.uint8) == 32) - 1
                             gone = np.zeros(len(words) + 1, np.int64)
                         first = int(number[start])
                         for a, b, least in firsts:
                             if least < doc_id:
                                 gone[first + a] += 1
                                 gone[first + b - 1 + length] -= 1
-        mask = np.cumsum(gone)[:-1] > 0 if gone is not None else np.zeros(len(words), bool)
-        kept = b" ".join([w for w, g in zip(words, mask.tolist(), strict=True) if not g]) if mask.any() else b" ".join(words)
-        for name, x in (("doc_id", doc_id), ("n_words", len(words)), ("n_removed", int(mask.sum())), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
+        removed = 0
+        if gone is not None:
+            mask = np.cumsum(gone)[:-1] > 0
+            removed = int(mask.sum())
+            line = b" ".join([w for w, g in zip(words, mask.tolist(), strict=True) if not g])
+        for name, x in (("doc_id", doc_id), ("n_words", len(words)), ("n_removed", removed), ("kept_sha256", hashlib.sha256(line).hexdigest()), ("kept", line)):
             out[name].append(x)
     return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary())})
 
@@ -215,22 +247,24 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, text: str = "text", do
     phrases = arrow_map(known.select("_id", "_text"), lambda b: _phrases(b, length), "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     bitmap = spark.sparkContext.broadcast(key_filter(phrases.where("lo < hi"), "h"))
 
-    found = arrow_map(known.select("_id", "_text"), lambda b: _passages(b, length, bitmap), "h long, c long, lo long, hi long, at int, passage binary")
-    passages = stored(found.groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("at").alias("at"), F.first("passage").alias("passage")))
-    hot = passages.groupBy("h").count().where(F.col("count") > HOT).select("h")
-    total = passages.agg(F.sum(F.octet_length("passage")).alias("b")).first()["b"] or 0
-    shards = partitions(spark, int(total // SHARD_BYTES) + 1)
-    kinds = "h long, c long, at int, passage binary, firsts binary"
-    cold = passages.join(hot, "h", "left_anti").select("h", "c", "lo", "hi", "at", "passage").repartition(shards, "h").mapInArrow(lambda b: _confirm(b, length), kinds)
-    crowd = passages.join(hot, "h", "left_semi")
-    windows = arrow_map(crowd.select("h", "c", "lo", "passage"), lambda b: _hashed_windows(b, length), "h long, c long, lo long, s1 long, s2 long, k int")
-    least = windows.groupBy("s1", "s2").agg(F.min("lo").alias("lo"))
-    each = windows.drop("lo").join(least, ["s1", "s2"]).groupBy("h", "c").agg(F.collect_list(F.struct("k", "lo")).alias("found"))
-    warm = arrow_map(crowd.join(each, ["h", "c"]).select("h", "c", "at", "passage", "found"), _collected, kinds)
-    confirmed = cold.unionByName(warm)
+    found = arrow_map(known.select("_id", "_text"), lambda b: _passages(b, length, bitmap), "h long, c long, lo long, hi long, n long")
+    passages = stored(found.groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n").alias("n")))
+    shape = passages.groupBy("h").agg(F.count("*").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("c").alias("c"), F.first("n").alias("n")).where("lo < hi")
+    few = spark.sparkContext.broadcast(key_filter(shape.where(F.col("k").between(2, HOT)), "h"))
+    many = spark.sparkContext.broadcast(key_filter(shape.where(F.col("k") > HOT), "h"))
+    kinds = "h long, c long, firsts binary"
+    lone = arrow_map(shape.where("k = 1").select("h", "c", "lo", "n"), _whole, kinds)
+    several = arrow_map(known.select("_id", "_text"), lambda b: _windowed(b, length, few, many), "h long, c long, lo long, hi long, crowd boolean, windows binary")
+    shards = partitions(spark, int((shape.where(F.col("k").between(2, HOT)).agg(F.sum("k")).first()[0] or 0) // SHARD_PASSAGES) + 1)
+    cold = several.where("not crowd").select("h", "c", "lo", "hi", "windows").repartition(shards, "h").mapInArrow(_confirm, kinds)
+    each = arrow_map(several.where("crowd").select("h", "c", "lo", "windows"), _opened, "h long, c long, lo long, w long, k int")
+    each = each.groupBy("h", "c", "w", "k").agg(F.min("lo").alias("lo"))
+    least = each.groupBy("h", "w").agg(F.min("lo").alias("lo"))
+    hot = each.drop("lo").join(least, ["h", "w"]).groupBy("h", "c").agg(F.collect_list(F.struct("k", "lo")).alias("found"))
+    confirmed = lone.unionByName(cold).unionByName(arrow_map(hot, _collected, kinds))
 
     used = arrow_map(known.select(bucket.alias("bucket"), "_text"), lambda b: _used(b, length, bitmap), "bucket long, h long, c long").distinct()
-    dealt = used.join(confirmed, ["h", "c"]).select("bucket", "at", "passage", "firsts")
+    dealt = used.join(confirmed, ["h", "c"]).select("bucket", "h", "c", "firsts")
     left = rows.select(bucket.alias("bucket"), "_id", "_text").groupBy("bucket")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     out = left.cogroup(dealt.groupBy("bucket")).applyInArrow(lambda a, b: _locate(a, b, length), kind).withColumnRenamed("doc_id", doc_id)
