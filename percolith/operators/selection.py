@@ -73,6 +73,9 @@ def skyline(df: DataFrame, key: str, objectives: dict[str, str]) -> DataFrame:
         kept, front = [], np.zeros((0, len(names)))
         for t in tables:
             x = t[names].to_numpy(float) * signs
+            for v in front[:64]:  # most rows fall to a few members of the front, all at once
+                out = (v <= x).all(axis=1) & (v < x).any(axis=1)
+                x, t = x[~out], t[~out]
             whole = pd.concat([*kept, t]) if kept else t
             both = np.concatenate([front, x])
             order = np.lexsort(both.T[::-1])
@@ -80,7 +83,7 @@ def skyline(df: DataFrame, key: str, objectives: dict[str, str]) -> DataFrame:
             best = np.zeros((0, len(names)))
             for i in order:
                 v = both[i]
-                if not len(best) or not ((best <= v).all(axis=1) & (best < v).any(axis=1)).any():
+                if not ((best <= v).all(axis=1) & (best < v).any(axis=1)).any():
                     alive.append(i)
                     best = np.concatenate([best, v[None]])
             alive.sort()
