@@ -12,8 +12,10 @@ or another, is removed; matches never cross documents.
    Burrows-Wheeler transform is run-compressed, and the places and common-prefix lengths at the ends of
    its runs are sampled.  Between samples these lengths fall by one a byte, so streaming the text over
    the samples gives every place's matching statistic; those of ``length`` or more are marked.
-   An anchor with over ``HOT`` different contexts would overfill its shard.  Its strings are counted one
-   by one instead, by digest with partial sums, which no key can skew: the exact way for the rest.
+   An anchor with over ``HOT`` different contexts would overfill its shard.  Its strings are halved in
+   on instead: those whose offset from the anchor falls in one range share a core, cores are counted by
+   digest with partial sums, and only ranges whose core recurs are cut into finer ones, down to single
+   strings.  No key can skew this, and it is exact.
 4. Marks go back to the documents that hold the context, and the bytes left are joined.
 
 Edge cases: null counts as empty; a document under ``length`` bytes is kept whole.  Repeated rows count
@@ -36,9 +38,9 @@ from ._text import anchored_runs, as_letters, blocks, byte_grams, merged, mix, r
 LENGTH = 200
 GRAM = 24
 #: Contexts of one anchor that a shard takes.
-HOT = 512
+HOT = 1024
 #: Bytes of contexts in a shard.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 
 def _gram_key(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -49,10 +51,10 @@ def _gram_key(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def _runs(block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor key, first byte and end of each context of a block."""
+def _runs(block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor key, first byte, end and anchor's first byte of each context of a block."""
     at, lo, hi = anchored_runs(byte_grams(block.buf, GRAM), block.off, length, GRAM, 15)
-    return _gram_key(block.buf, at), lo, hi + length
+    return _gram_key(block.buf, at), lo, hi + length, at
 
 
 def _anchors(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
@@ -65,23 +67,23 @@ def _contexts(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
     """Distinct contexts of a batch, each with how often it occurs."""
     seen: dict[tuple[int, int], list] = {}
     for block in blocks(batch.column("_text")):
-        key, lo, end = _runs(block, length)
+        key, lo, end, at = _runs(block, length)
         keep = passes(bitmap.value, key)
-        key, lo, end = key[keep], lo[keep], end[keep]
+        key, lo, end, at = key[keep], lo[keep], end[keep], at[keep]
         c = spans_hash(as_letters(block.buf.tobytes()), lo, end)
-        for h, d, a, b in zip(key.view(np.int64).tolist(), c.view(np.int64).tolist(), lo.tolist(), end.tolist(), strict=True):
+        for h, d, a, b, p in zip(key.view(np.int64).tolist(), c.view(np.int64).tolist(), lo.tolist(), end.tolist(), (at - lo).tolist(), strict=True):
             if (had := seen.get((h, d))) is None:
-                seen[h, d] = [block.buf[a:b].tobytes(), 1]
+                seen[h, d] = [block.buf[a:b].tobytes(), 1, p]
             else:
                 had[1] += 1
     keys = np.array(list(seen), np.int64).reshape(-1, 2)
-    yield {"h": keys[:, 0], "c": keys[:, 1], "n": [x[1] for x in seen.values()], "ctx": [x[0] for x in seen.values()]}
+    yield {"h": keys[:, 0], "c": keys[:, 1], "n": [x[1] for x in seen.values()], "ctx": [x[0] for x in seen.values()], "p": [x[2] for x in seen.values()]}
 
 
 def _places(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
     ids, th = batch.column("_id"), batch.column("_th").to_numpy()
     for block in blocks(batch.column("_text"), 1 << 22):
-        key, lo, end = _runs(block, length)
+        key, lo, end, _ = _runs(block, length)
         keep = passes(bitmap.value, key)
         key, lo, end = key[keep], lo[keep], end[keep]
         doc = block.doc_of(lo)
@@ -117,24 +119,35 @@ class RunIndex:
         self.tail_at, self.tail_common = order[down], self._common(order[down], order[down + 1])
 
     def _sort(self, text: np.ndarray, texts: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix order by prefix doubling from 4-byte ranks; ends are least, and in the order of the texts."""
+        """Suffix order by prefix doubling, from ranks by as many bytes as fit a word; ends are least, and in
+        the order of the texts.  Later rounds sort (rank, rank after, place) packed into one number."""
         n, left = self.n, self.left
-        padded = np.r_[self.data.astype(np.int64) + 1, np.zeros(4, np.int64)]
-        both = np.zeros(n, np.int64)
-        for k in range(4):
-            both = (both << 9) | np.where(left > k, padded[k : n + k], 0)
-        both = (both << 27) | np.where(left < 4, text, (1 << 27) - 1)
-        levels, size = [], 4
+        letters, code = np.unique(self.data, return_inverse=True)
+        bits, tie = int(len(letters)).bit_length(), int(texts + 1).bit_length()
+        size = max(1, (63 - tie) // bits)
+        padded = np.r_[code.astype(np.int64) + 1, np.zeros(size, np.int64)]
+        key = np.zeros(n, np.int64)
+        for k in range(size):
+            key = (key << bits) | np.where(left > k, padded[k : n + k], 0)
+        key = (key << tie) | np.where(left < size, text, texts)
+        order = np.argsort(key)
+        levels, place = [], max(1, int(n - 1).bit_length())
+        k = key[order]
         while True:
-            order = np.argsort(both)
-            b = both[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[False, b[1:] != b[:-1]])
+            rank[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]])
             levels.append((size, rank.astype(np.int32)))
             if rank.max(initial=-1) == n - 1:
                 return order, levels
             after = np.where(left > size, texts + np.r_[rank, np.zeros(size, np.int64)][size : size + n], text)
-            both = rank * (n + texts) + after
+            wide = int(n + texts).bit_length()
+            if 2 * place + wide <= 63:
+                packed = np.sort((((rank << wide) | after) << place) | np.arange(n))
+                order, k = packed & ((1 << place) - 1), packed >> place
+            else:
+                both = rank * (n + texts) + after
+                order = np.argsort(both)
+                k = both[order]
             size *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,7 +157,7 @@ class RunIndex:
         for size, rank in reversed(self.levels):
             x, y = np.minimum(a + out, last), np.minimum(b + out, last)
             out += size * ((self.left[a] - out >= size) & (self.left[b] - out >= size) & (rank[x] == rank[y]))
-        for _ in range(3):
+        for _ in range(self.levels[0][0] - 1):
             x, y = np.minimum(a + out, last), np.minimum(b + out, last)
             out += (self.left[a] > out) & (self.left[b] > out) & (self.data[x] == self.data[y])
         return out
@@ -196,23 +209,58 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["h", "c", "spans"])
 
 
-def _strings(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
-    """Every string of a context, by two digests."""
-    h, c, n = (batch.column(k).to_numpy() for k in ("h", "c", "n"))
-    for block in blocks(batch.column("ctx")):
-        letters = as_letters(block.buf.tobytes())
-        count = np.maximum(np.diff(block.off) - length + 1, 0)
-        at = ranges(block.off[:-1], count)
+#: Ranges that a range of offsets is cut into in a round.
+SPLIT = 8
+
+
+def _cores(batch: pa.RecordBatch, length: int, width: int) -> Iterator[dict]:
+    """The ranges of ``width`` offsets within each row's range, each with two digests of the bytes its strings share.
+
+    Offsets count from a string's start to the anchor, so equal strings have equal ranges.
+    """
+    h, c, n, p, lo, hi = (batch.column(k).to_numpy().astype(np.int64) for k in ("h", "c", "n", "p", "lo", "hi"))
+    for block in blocks(batch.column("ctx"), 1 << 20):
+        size = np.diff(block.off)
+        i = block.first + np.arange(len(block))
+        # strings of a context start at 0 .. size - length, so their offsets are p - (size - length) .. p
+        least, most = np.maximum(lo[i], np.maximum(0, p[i] - (size - length))), np.minimum(hi[i], p[i])
+        first, last = least // width, most // width
+        count = np.maximum(last - first + 1, 0) * (least <= most)
         doc = np.repeat(np.arange(len(block)), count)
-        row = block.first + doc
-        yield {"h": h[row], "c": c[row], "n": n[row], "s1": spans_hash(letters, at, at + length), "s2": spans_hash(letters, at, at + length, 1), "at": (at - block.off[doc]).astype(np.int32)}
+        part = ranges(first, count)
+        a, b = np.maximum(part * width, 0), part * width + width - 1
+        # a range that meets the context's offsets has its core within the context
+        start, end = p[i][doc] - a, p[i][doc] - b + length
+        at = block.off[doc]
+        letters = as_letters(block.buf.tobytes())
+        s1, s2 = spans_hash(letters, at + start, at + end), spans_hash(letters, at + start, at + end, 1)
+        row = i[doc]
+        yield {"h": h[row], "c": c[row], "n": n[row], "part": part, "s1": s1, "s2": s2}
 
 
 def _pack(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
-    spans = [_spans(np.sort(np.array(x, np.int64)), length) for x in batch.column("ats").to_pylist()]
+    spans = [_spans(np.sort(p - np.array(x, np.int64)), length) for p, x in zip(batch.column("p").to_pylist(), batch.column("offsets").to_pylist(), strict=True)]
     yield {"h": batch.column("h"), "c": batch.column("c"), "spans": spans}
 
 
+def _halved(crowd: DataFrame, length: int) -> DataFrame:
+    """(h, c, spans) of contexts that share strings with others of a crowded anchor; rounds follow from ``length`` alone."""
+    width = 1
+    while width < length - GRAM + 1:
+        width *= SPLIT
+    todo = crowd.select("h", "c", "n", "p", F.lit(0).cast("long").alias("lo"), F.lit(width - 1).cast("long").alias("hi"))
+    while width > 1:
+        width //= SPLIT
+        w = width
+        rows = todo.join(crowd.select("h", "c", "ctx"), ["h", "c"])
+        cores = stored(arrow_map(rows.select("h", "c", "n", "p", "lo", "hi", "ctx"), lambda b, w=w: _cores(b, length, w), "h long, c long, n long, part long, s1 long, s2 long"))
+        again = cores.groupBy("h", "part", "s1", "s2").agg(F.sum("n").alias("k")).where("k > 1").drop("k")
+        left = cores.join(again, ["h", "part", "s1", "s2"], "left_semi").select("h", "c", "part")
+        todo = left.join(crowd.select("h", "c", "n", "p"), ["h", "c"]).select("h", "c", "n", "p", (F.col("part") * w).alias("lo"), (F.col("part") * w + w - 1).alias("hi"))
+    found = todo.where("n = 1").groupBy("h", "c").agg(F.first("p").alias("p"), F.collect_list("lo").alias("offsets"))
+    return arrow_map(found, lambda b: _pack(b, length), "h long, c long, spans binary")
+
+
 def _cut(batch: pa.RecordBatch) -> Iterator[dict]:
     n = batch.num_rows
     size, removed, count, kept, texts = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n, [b""] * n
@@ -238,21 +286,18 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, text: str = "text", do
     anchors = arrow_map(rows.select("_text"), lambda b: _anchors(b, length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     bitmap = spark.sparkContext.broadcast(key_filter(anchors.where("n > 1"), "h"))
 
-    found = arrow_map(rows.select("_text"), lambda b: _contexts(b, length, bitmap), "h long, c long, n long, ctx binary")
-    contexts = stored(found.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("ctx").alias("ctx")))
-    per_anchor = contexts.groupBy("h").agg(F.count("*").alias("k"), F.sum(F.octet_length("ctx")).alias("b"))
+    found = arrow_map(rows.select("_text"), lambda b: _contexts(b, length, bitmap), "h long, c long, n long, ctx binary, p long")
+    contexts = stored(found.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("ctx").alias("ctx"), F.first("p").alias("p")))
+    per_anchor = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     hot = per_anchor.where(F.col("k") > HOT).select("h")
-    mixed = per_anchor.where(F.col("k").between(2, HOT)).select("h")
+    mixed = per_anchor.where(F.col("k").between(2, HOT) & (F.col("least") == 1)).select("h")
     total = contexts.agg(F.sum(F.octet_length("ctx")).alias("b")).first()["b"] or 0
-    shards = partitions(spark, int(total // (4 * SHARD_BYTES)) + 1)
+    shards = partitions(spark, int(total // (8 * SHARD_BYTES)) + 1)
 
     whole = F.lit(np.array([0, -1], "<i4").tobytes())
     twice = contexts.where("n > 1").select("h", "c", whole.alias("spans"))
-    once = contexts.join(mixed, "h", "left_semi").repartition(shards, "h").mapInArrow(lambda b: _shard(b, length), "h long, c long, spans binary")
-    strings = arrow_map(contexts.join(hot, "h", "left_semi").select("h", "c", "n", "ctx"), lambda b: _strings(b, length), "h long, c long, n long, s1 long, s2 long, at int")
-    again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
-    marked = strings.where("n = 1").join(again, ["s1", "s2"]).groupBy("h", "c").agg(F.collect_list("at").alias("ats"))
-    marks = twice.unionByName(once).unionByName(arrow_map(marked, lambda b: _pack(b, length), "h long, c long, spans binary"))
+    once = contexts.join(mixed, "h", "left_semi").select("h", "c", "n", "ctx").repartition(shards, "h").mapInArrow(lambda b: _shard(b, length), "h long, c long, spans binary")
+    marks = twice.unionByName(once).unionByName(_halved(stored(contexts.join(hot, "h", "left_semi")), length))
 
     places = arrow_map(rows, lambda b: _places(b, length, bitmap), "_id long, _th long, h long, c long, lo long, n long")
     covered = places.join(marks, ["h", "c"]).select("_id", "_th", "lo", F.when(F.col("spans") == whole, F.concat(F.lit(np.array([0], "<i4").tobytes()), _le(F.col("n")))).otherwise(F.col("spans")).alias("spans"))
