@@ -9,10 +9,12 @@ it.  A band is ``rows`` coordinates; classes that agree on a band share a bucket
 
 Pairs of a bucket are not listed.  First every class is compared on the full sets with one centre, the
 least class it shares a bucket with, and links are merged into components.  A bucket whose members are
-one component is settled.  Of the others, those with few pairs across components (at most ``SMALL`` a
-member) compare these; larger ones take further centres, a new one each round, which also rules out
-members of unlike size, until they are settled, have few pairs left, or ``STARS`` rounds found
-nothing more to merge; what is left is then compared in full, so no link within a bucket is lost.
+one component is settled.  Of the others, small ones compare members of different components, those
+whose sketches agree best first; in large ones every member is compared with the centres of some of its
+buckets, other ones each round, which joins most of them, and after ``STARS`` rounds what is left is
+treated as small.  A pair is passed over only where sizes rule it out, or where the sketches agree in
+fewer coordinates than the threshold by six standard deviations; every other pair of different
+components is compared in full, so no link within a bucket is lost (but for one in 10**8).
 
 The chance that a pair of similarity s shares no bucket is (1 - s**rows)**bands: 2e-7 at 0.85 with 8 rows
 and 48 bands, 2e-6 at 0.8 with 7 and 56.  Classes are told apart by a 64-bit digest of the set.
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, as_batch, key_filter, keyed, partitions, passes, stored
+from ._spark import arrow_map, as_batch, key_filter, keyed, partitions, passes, small_batches, stored
 from ._text import Block, Words, blocks, mix, spans_hash
 
 SHINGLE = 5
-#: Pairs across components a member of a bucket may be compared in at once; rounds of single centres before that.
-SMALL, STARS = 24, 6
+#: Members of a small bucket; rounds of centres for larger ones, and of how many buckets a round; pairs of two
+#: components in the first round, sixteen times as many in each that follows.
+SMALL, STARS, CENTRES, FIRST = 64, 2, 6, 8
 #: Members that are verified against a centre in one group.
 GROUP = 128
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -109,13 +112,25 @@ def _members(batch: pa.RecordBatch, bitmap) -> Iterator[dict]:
     yield {"key": keys[at], "node": batch.column("node").to_numpy()[row[at]], "n": batch.column("n").to_numpy()[row[at]]}
 
 
-def _sets(batch: pa.RecordBatch, k: int, bitmap) -> Iterator[dict]:
-    seen: dict[int, bytes] = {}
+def _pool(batch: pa.RecordBatch, k: int, size: int, bitmap) -> Iterator[dict]:
+    """Sets of the classes that share a bucket, each with the low bytes of its sketch."""
+    seen: dict[int, tuple[bytes, bytes]] = {}
     for block in blocks(batch.column("_text")):
         for elements in shingle_sets(block, k):
             if len(elements) and (node := _digest(elements)) not in seen and passes(bitmap.value, np.array([node], np.int64))[0]:
-                seen[node] = elements.tobytes()
-    yield {"node": list(seen), "elements": list(seen.values())}
+                seen[node] = elements.tobytes(), mix(sketch(elements, size)).astype(np.uint8).tobytes()
+    yield {"node": list(seen), "elements": [x[0] for x in seen.values()], "bits": [x[1] for x in seen.values()]}
+
+
+def _asked(batch: pa.RecordBatch, bitmap) -> Iterator[dict]:
+    keep = pa.array(passes(bitmap.value, batch.column("node").to_numpy()))
+    yield {"node": batch.column("node").filter(keep), "elements": batch.column("elements").filter(keep)}
+
+
+def least_agreement(percent: int, size: int) -> float:
+    """Share of equal sketch bytes under which a pair is passed over."""
+    s = percent / 100
+    return s - 6 * (s * (1 - s) / size) ** 0.5
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -141,19 +156,19 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield as_batch({"a": a, "b": b}, _LINKS)
 
 
-def links(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def links(pool: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (centre, node), those similar enough on their full sets, as (a, b).
 
     Sets travel once to their centre; a centre of many is repeated for every ``GROUP`` of them.
     """
-    spark = rows.sparkSession
+    spark = pool.sparkSession
     size = pairs.groupBy("centre").agg(F.count("*").alias("m"))
     parts = (F.col("m") / GROUP).cast("int") + 1
-    dealt = pairs.join(size, "centre").select("centre", F.pmod(F.xxhash64("node"), parts).alias("part"), "node")
+    dealt = pairs.join(size, "centre").select("centre", F.pmod(F.xxhash64("node"), parts).cast("long").alias("part"), "node")
     own = size.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"), F.col("centre").alias("node"))
-    asked = stored(dealt.select("centre", F.col("part").cast("long"), "node").unionByName(own))
-    bitmap = spark.sparkContext.broadcast(key_filter(asked.select("node").distinct(), "node"))
-    sets = arrow_map(rows.select("_text"), lambda b: _sets(b, k, bitmap), "node long, elements binary").dropDuplicates(["node"])
+    asked = stored(dealt.unionByName(own))
+    bitmap = spark.sparkContext.broadcast(key_filter(asked.select("node"), "node"))
+    sets = arrow_map(pool.select("node", "elements"), lambda b: _asked(b, bitmap), "node long, elements binary")
     ready = asked.join(sets, "node").select("centre", "part", "node", "elements")
     placed = ready.repartition(partitions(spark), "centre", "part").sortWithinPartitions("centre", "part", F.col("node") != F.col("centre"))
     return stored(placed.mapInArrow(lambda b: _verify(b, percent), "a long, b long"))
@@ -177,19 +192,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _small(batch: pa.RecordBatch, percent: int) -> Iterator[dict]:
-    """All pairs across components of buckets with few of them."""
-    pairs = set()
-    for found in batch.column("found").to_pylist():
-        groups: dict[int, list] = {}
-        for x in found:
-            groups.setdefault(x["label"], []).append(x)
-        rest = sorted(groups.values(), key=len)
-        for i, one in enumerate(rest):
-            for other in rest[i + 1 :]:
-                for x in one:
-                    pairs.update((min(x["node"], y["node"]), max(x["node"], y["node"])) for y in other if 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"]))
-    yield {"centre": [p[0] for p in pairs], "node": [p[1] for p in pairs]}
+def _listed(batch: pa.RecordBatch, percent: int, most: int) -> Iterator[dict]:
+    """The best ``most`` pairs of every two components of a bucket; a row of nulls says that there are more."""
+    pairs, more = set(), False
+    for row in batch.column("found"):
+        found = row.as_py()
+        found.sort(key=lambda x: (x["label"], x["node"]))
+        bits = np.frombuffer(b"".join(x["bits"] for x in found), np.uint8).reshape(len(found), -1)
+        n, label, node = (np.array([x[k] for x in found], np.int64) for k in ("n", "label", "node"))
+        least = least_agreement(percent, bits.shape[1])
+        by: dict[tuple[int, int], list] = {}
+        for i in range(len(found)):
+            j = np.flatnonzero((label > label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if len(j):
+                same = (bits[j] == bits[i]).mean(axis=1)
+                for q in np.flatnonzero(same >= least):
+                    by.setdefault((label[i], label[j[q]]), []).append((-same[q], node[i], node[j[q]]))
+        for each in by.values():
+            more |= len(each) > most
+            pairs.update((int(min(x, y)), int(max(x, y))) for _, x, y in sorted(each)[:most])
+    rows = [*pairs, *([(None, None)] if more else [])]
+    yield {"centre": [p[0] for p in rows], "node": [p[1] for p in rows]}
+
+
+def _agreeing(batch: pa.RecordBatch, percent: int) -> Iterator[dict]:
+    """Pairs (node, other) whose sketches agree well enough."""
+    a, b = (batch.column(k).to_pylist() for k in ("bits", "others"))
+    size = len(a[0]) if a else 1
+    least = least_agreement(percent, size)
+    same = (np.frombuffer(b"".join(a), np.uint8).reshape(-1, size) == np.frombuffer(b"".join(b), np.uint8).reshape(-1, size)).mean(axis=1) >= least if a else np.zeros(0, bool)
+    x, y = batch.column("node").to_numpy()[same], batch.column("other").to_numpy()[same]
+    yield {"centre": np.minimum(x, y), "node": np.maximum(x, y)}
+
+
+def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of all nodes after new links: components of the labels that links join, then one look-up."""
+    named = edges.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
+    joined = stored(named.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if not joined.limit(1).count():
+        return labels
+    top = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return stored(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -197,37 +240,52 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int =
 
     _th is xxhash64 of its text; component names its component, and is null for the empty set.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, similarity, shingle, text, doc_id)
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, shingle: int, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
     percent, (bands, width) = round(100 * similarity), banding(similarity)
     rows = keyed(docs, text=text, doc_id=doc_id)
     signed = stored(arrow_map(rows, lambda b: _signatures(b, shingle, bands, width), "_id long, _th long, n long, node long, keys array<long>"))
-    keys = signed.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    crowded = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    banded = signed.where("keys is not null").select("node", "n", "keys")
+    crowded = banded.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     bitmap = spark.sparkContext.broadcast(key_filter(crowded, "key"))
-    members = stored(arrow_map(signed.where("keys is not null").select("node", "n", "keys"), lambda b: _members(b, bitmap), "key long, node long, n long").distinct())
+    members = stored(arrow_map(banded, lambda b: _members(b, bitmap), "key long, node long, n long").distinct())
+    wanted = spark.sparkContext.broadcast(key_filter(members.select("node"), "node"))
+    found = arrow_map(rows.select("_text"), lambda b: _pool(b, shingle, bands * width, wanted), "node long, elements binary, bits binary")
+    pool = stored(found.groupBy("node").agg(F.first("elements").alias("elements"), F.first("bits").alias("bits")))
     least = members.groupBy("key").agg(F.min("node").alias("centre"))
-    pairs = stored(members.join(least, "key").groupBy("node").agg(F.min("centre").alias("centre")).where("centre < node").select("centre", "node"))
-    tested, edges = pairs, links(rows, pairs, shingle, percent)
-    for turn in range(64):
-        labels = components(edges)
-        named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        parts = named.groupBy("key", "label").agg(F.count("*").alias("m"))
-        shape = parts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("square"), F.count("*").alias("groups")).where("groups > 1")
-        few = (F.col("m") * F.col("m") - F.col("square") <= 2 * SMALL * F.col("m")) | F.lit(turn >= STARS)
-        open_ = stored(shape.select("key", few.alias("few")))
-        mixed = named.join(open_, "key")
-        listed = mixed.where("few").groupBy("key").agg(F.collect_list(F.struct("node", "n", "label")).alias("found"))
-        small = arrow_map(listed.select("found"), lambda b: _small(b, percent), "centre long, node long")
-        lead = mixed.where("not few").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node"), F.col("n"), F.col("label"))).alias("c"))
-        star = mixed.where("not few").join(lead, "key").where("label <> c.label").where(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
-        stars = star.select(F.least("node", "c.node").alias("centre"), F.greatest("node", "c.node").alias("node"))
-        fresh = stored(small.union(stars).distinct().join(tested, ["centre", "node"], "left_anti"))
-        if not fresh.limit(1).count():
-            if turn >= STARS or not open_.where("not few").limit(1).count():
+    fresh = stored(members.join(least, "key").groupBy("node").agg(F.min("centre").alias("centre")).where("centre < node").select("centre", "node"))
+    tested, labels = fresh, stored(pool.select("node", F.col("node").alias("label")))
+    turn = 0
+    while True:
+        labels = _merge(labels, links(pool, fresh, percent))
+        while True:  # until there is something to compare, or nothing left
+            named = members.join(labels, "node")
+            shape = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+            mixed = stored(named.join(shape.select("key", ((F.col("m") <= SMALL) | F.lit(turn >= STARS)).alias("small")), "key"))
+            bits = pool.select("node", "bits")
+            lists = mixed.where("small").join(bits, "node").groupBy("key").agg(F.collect_list(F.struct("node", "n", "label", "bits")).alias("found"))
+            listed = arrow_map(lists.select("found"), lambda b, t=turn: _listed(b, percent, FIRST * 16**t), "centre long, node long")
+            large = mixed.where("not small")
+            lead = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "n", "label")).alias("c"))
+            draws = [F.min(F.struct(F.xxhash64("key", "node", F.lit(turn), F.lit(j)).alias("o"), "key")).alias(f"p{j}") for j in range(CENTRES)]
+            own = large.groupBy("node", "n", "label").agg(*draws).select("node", "n", "label", F.explode(F.array_distinct(F.array(*[f"p{j}.key" for j in range(CENTRES)]))).alias("key"))
+            star = own.join(lead, "key").where("label <> c.label").where(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent).select("node", F.col("c.node").alias("other")).distinct()
+            star = star.join(bits, "node").join(bits.withColumnsRenamed({"node": "other", "bits": "others"}), "other")
+            stars = arrow_map(star.select("node", "other", "bits", "others"), lambda b: _agreeing(b, percent), "centre long, node long")
+            more = large.groupBy().count().where("count > 0").select(F.lit(None).cast("long").alias("centre"), F.lit(None).cast("long").alias("node"))
+            fresh = stored(listed.union(stars).union(more).distinct().join(tested, ["centre", "node"], "left_anti"))
+            state = fresh.agg(F.count("centre").alias("pairs"), F.count_if(F.col("centre").isNull()).alias("more")).first()
+            turn += 1
+            if state["pairs"] or not state["more"]:
                 break
-            continue
+        if not state["pairs"]:
+            break
+        fresh = fresh.where("centre is not null")
         tested = tested.union(fresh)
-        edges = edges.union(links(rows, fresh, shingle, percent))
     label = F.when(F.col("n") > 0, F.coalesce("label", "node"))
     placed = signed.join(labels, "node", "left").select("_id", "_th", F.col("n").alias("n_shingles"), label.alias("label"))
     first = placed.where("label is not null").groupBy("label").agg(F.min("_id").alias("first"))
