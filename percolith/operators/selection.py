@@ -98,23 +98,121 @@ def skyline(df: DataFrame, key: str, objectives: dict[str, str]) -> DataFrame:
     return out
 
 
-def pareto_layers(df: DataFrame, key: str, objectives: dict[str, str], most: int = 64) -> DataFrame:
-    """(key, layer) by peeling fronts, from 1; rows past ``most`` layers have a null layer.
+#: Rows of the ranges that one task passes over.
+RANGE = 1 << 20
 
-    In two objectives a row's layer is one more than the longest chain that dominates it.
+
+def pareto_layers(df: DataFrame, key: str, objectives: dict[str, str]) -> DataFrame:
+    """(key, layer) of every row: the front it is in when fronts are peeled until no row is left, from 1.
+
+    A row's layer is one more than the longest chain that dominates it.  In one or two objectives that takes
+    one ordered pass, whose state is the least last objective of each layer so far: rows are ranged by their
+    objectives, range after range hands its state on, and then all ranges number their rows at once.  In more
+    objectives fronts are peeled.  Rows that lack an objective (null or NaN) have a null layer.
     """
-    left, parts = df.select(key, *objectives), []
-    for layer in range(1, most + 1):
-        front = skyline(left, key, objectives).select(key)
-        front = front.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else front.cache()
-        if not front.limit(1).count():
-            break
-        parts.append(front.withColumn("layer", F.lit(layer)))
-        left = left.join(front, key, "left_anti")
-    out = parts[0] if parts else df.select(key, F.lit(None).cast("int").alias("layer")).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return df.select(key).join(out, key, "left")
+    names = [f"o{i}" for i in range(len(objectives))]
+    values = [(-F.col(c).cast("double") if s else F.col(c).cast("double")) + 0.0 for c, s in _signed(objectives)]
+    rows = df.select(F.col(key).alias("k"), *[v.alias(n) for v, n in zip(values, names, strict=True)])
+    sound = F.expr(" and ".join(f"{n} is not null and not isnan({n})" for n in names))
+    out = _chained(rows.where(sound), names) if len(names) < 3 else _peeled(rows.where(sound), names)
+    lacking = rows.where(~sound).select("k", F.lit(None).cast("int").alias("layer"))
+    return out.select("k", "layer").unionByName(lacking).withColumnRenamed("k", key)
+
+
+def _pass(tails: list[float], last: tuple, x, y) -> tuple:
+    """Layers of rows in order of x, then y; ``tails`` is the least y of each layer, ``last`` the row before."""
+    from bisect import bisect_right
+
+    layers = []
+    for at in zip(x.tolist(), y.tolist(), strict=True):
+        if at != last[:2]:
+            k = bisect_right(tails, at[1])
+            tails[k : k + 1] = [at[1]]
+            last = (*at, k + 1)
+        layers.append(last[2])
+    return layers, last
+
+
+def _chained(rows: DataFrame, names: list[str]) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    from ..llm._spark import stored
+
+    spark = rows.sparkSession
+    rows = rows.select("k", F.col(names[0]).alias("x"), F.col(names[-1]).alias("y"))
+    # the key takes part, so that many equal rows fall into several ranges
+    ranged = rows.repartitionByRange(rows.count() // RANGE + 1, "x", "y", F.xxhash64("k"))
+    table = stored(ranged.withColumn("part", F.spark_partition_id()))
+    runs: list[list[int]] = []
+    held = 0
+    for part, n in sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        if runs and held + n <= RANGE:
+            runs[-1][1], held = part, held + n
+        else:
+            runs.append([part, part])
+            held = n
+    starts: list[tuple] = [(np.zeros(0), ())]
+    for first, final in runs[:-1]:
+        before = starts[-1]
+
+        def state(batches, before=before):
+            tails, last = before[0].tolist(), before[1]
+            for b in batches:
+                _, last = _pass(tails, last, b.column("x").to_numpy(), b.column("y").to_numpy())
+            yield pa.RecordBatch.from_pydict({"tails": [np.array(tails).tobytes()], "x": [last[0]], "y": [last[1]], "layer": pa.array([last[2]], pa.int32())})
+
+        ordered = table.where(F.col("part").between(first, final)).coalesce(1).sortWithinPartitions("x", "y", F.xxhash64("k"))
+        r = ordered.select("x", "y").mapInArrow(state, "tails binary, x double, y double, layer int").first()
+        starts.append((np.frombuffer(bytes(r["tails"])), (r["x"], r["y"], r["layer"])))
+    shared = spark.sparkContext.broadcast(starts)
+    number = F.lit(0)
+    for first, _ in runs[1:]:
+        number = number + (F.col("part") >= first).cast("int")
+
+    def layers(batches):
+        now, tails, last = -1, [], ()
+        for b in batches:
+            run, x, y = (b.column(c).to_numpy() for c in ("run", "x", "y"))
+            found, cuts = [], [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    if run[i] != now:
+                        now = int(run[i])
+                        tails, last = shared.value[now][0].tolist(), shared.value[now][1]
+                    more, last = _pass(tails, last, x[i:j], y[i:j])
+                    found += more
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(found, pa.int32())], names=["k", "layer"])
+
+    dealt = table.select("k", "x", "y", number.alias("run")).repartition(max(1, len(runs)), "run").sortWithinPartitions("run", "x", "y")
+    return dealt.mapInArrow(layers, f"k {rows.schema['k'].dataType.simpleString()}, layer int")
+
+
+def _peeled(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Every front is appended to one folder; only the rows left are kept beside it."""
+    import uuid
+
+    from ..llm._spark import shared_folder
+
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("append").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    left, layer = put(rows, "left0"), 0
+    out = put(rows.limit(0).withColumn("layer", F.lit(0)), "fronts")
+    while left.limit(1).count():
+        layer += 1
+        front = put(skyline(left, "k", dict.fromkeys(names, "min")), f"front{layer}")
+        out = put(front.withColumn("layer", F.lit(layer)), "fronts")
+        # by values, as rows equal to one of the front are in it too; keys need not be distinct
+        left = put(left.join(front.select(*names).distinct(), names, "left_anti").select(*rows.columns), f"left{layer}")
+        for old in (f"left{layer - 1}", f"front{layer}"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 def farthest_first(df: DataFrame, key: str, features: Sequence[str], n: int, strata: str | None = None) -> DataFrame:

@@ -392,11 +392,26 @@ def _layers_sql(n: int) -> str:
     return "with " + ", ".join(parts) + " " + " union all ".join(f"select p_partkey, {k}::int layer from f{k}" for k in range(1, n + 1))
 
 
+def _layers(spark, sf):
+    return selection.pareto_layers(table(spark, sf, "part"), "p_partkey", {"p_retailprice": "min", "p_size": "max"})
+
+
 @query(_layers_sql(3))
 def pareto_layers(spark, sf):
-    """The three best fronts."""
-    p = table(spark, sf, "part")
-    return selection.pareto_layers(p, "p_partkey", {"p_retailprice": "min", "p_size": "max"}, most=3).where("layer is not null").select("p_partkey", "layer")
+    """The three best fronts, as the SQL has them; ``pareto_layers_all`` has every row's."""
+    return _layers(spark, sf).where("layer <= 3")
+
+
+_CHAINS_SQL = """with recursive r as (select p_partkey k, p_retailprice x, p_size y, 1 layer from part
+ union select b.p_partkey, b.p_retailprice, b.p_size, r.layer + 1 from r join part b
+  on r.x <= b.p_retailprice and r.y >= b.p_size and (r.x < b.p_retailprice or r.y > b.p_size))
+ select k p_partkey, max(layer)::int layer from r group by 1"""
+
+
+@query(_CHAINS_SQL)
+def pareto_layers_all(spark, sf):
+    """The front of every row."""
+    return _layers(spark, sf)
 
 
 @query()
