@@ -3,9 +3,12 @@
 Vectors that are equal are one point with the smallest ids that share it (one more than are asked for,
 as a query leaves itself out), so a vector that many rows share is a point like any other.  Points are
 dealt to shards of about ``SHARD`` by a hash.  Each shard's graph is built by insertion in batches: a new
-batch is searched for in the graph so far, linked to its nearest points and to its own members, and
-links are pruned to the nearest.  Layers are flat arrays of neighbour numbers, -1 where there is none.
-One more coordinate makes nearness by inner product nearness in space.
+batch is searched for in the graph so far, among its own members too, and linked to near points in
+different directions: of the nearest first, one that is nearer to a link than to the point itself is passed
+over, and those passed over only fill places that are left.  Links are pruned by the same rule, so a tight
+group keeps links that lead out of it.  A layer is searched from the best ``STARTS`` points of the layer
+above.  Layers are flat arrays of neighbour numbers, -1 where there is none.  One more coordinate makes
+nearness by inner product nearness in space.
 
 Queries are taken in blocks; each block meets each shard, and the shards' best are merged.  Every row is
 indexed.  Found scores are inner products of the original vectors in double precision.
@@ -29,9 +32,29 @@ from ._spark import arrow_map, stored
 SHARD, LINKS, BUILD_BEAM, BEAM = 8192, 16, 64, 128
 #: Query vectors in a block.
 QUERIES = 1024
+#: Points that a search of a layer starts from.
+STARTS = 32
 _STEP = 4
 
 
+def _spread(between: np.ndarray, far: np.ndarray, width: int) -> np.ndarray:
+    """Up to ``width`` places of candidates (m, c), nearest first: those in new directions, then the nearest of the rest.
+
+    ``between`` (m, c, c) are the distances among candidates and ``far`` (m, c) to the point, inf where there is none.
+    """
+    m, c = far.shape
+    taken, shut = np.zeros((m, c), bool), ~np.isfinite(far)
+    full = np.zeros(m, int)
+    for i in range(c):
+        pick = ~shut[:, i] & (full < width)
+        taken[:, i] = pick
+        full += pick
+        # a candidate further on that is nearer to this link than to the point
+        shut |= pick[:, None] & (between[:, i] < far)
+    rank = np.where(taken, 0, np.where(np.isfinite(far), 1, 2))
+    return np.argsort(rank, axis=1, kind="stable")[:, :width]
+
+
 class Graph:
     """A hierarchy over points ``x`` (n, d); ``layers[l]`` are (numbers of points, neighbours (m, links))."""
 
@@ -63,17 +86,17 @@ class Graph:
         own = ((self.x[new][:, None, :] - self.x[new][None, :, :]) ** 2).sum(axis=2)
         np.fill_diagonal(own, np.inf)
         if len(old):
-            found, far = self._beam(level, self.x[new], self._descend(self.x[new], level) if old.size else None, self.beam)
+            found, far = self._beam(level, self.x[new], self._descend(self.x[new], level), self.beam)
         else:
             found, far = np.full((len(new), 0), -1), np.zeros((len(new), 0), np.float32)
         ids = np.concatenate([found, np.broadcast_to(new, own.shape)], axis=1)
         dist = np.concatenate([np.where(found >= 0, far, np.inf), own], axis=1)
         take = min(width // 2 if level == 0 else width, dist.shape[1])
-        best = np.argsort(dist, axis=1)[:, :take]
-        pick, near = np.take_along_axis(ids, best, 1), np.take_along_axis(dist, best, 1)
-        pick = np.where(np.isfinite(near), pick, -1)
+        best = np.argsort(dist, axis=1)[:, : max(self.beam, take)]
+        near = np.take_along_axis(dist, best, 1)
+        pick, near = self._chosen(np.where(np.isfinite(near), np.take_along_axis(ids, best, 1), -1), near, take)
         table[new, :take] = pick
-        # links back, each point keeping its nearest
+        # links back, each point keeping near ones in different directions
         a = np.repeat(new, take)
         b = pick.ravel()
         a, b = a[b >= 0], b[b >= 0]
@@ -87,24 +110,37 @@ class Graph:
         more[slot[by], np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)] = a[by]
         both = np.sort(np.concatenate([table[targets], more], axis=1), axis=1)
         both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
-        far = np.where(both >= 0, self._distances(self.x[targets], np.maximum(both, 0)), np.inf)
-        keep = np.argsort(far, axis=1)[:, :width]
-        table[targets] = np.where(np.isfinite(np.take_along_axis(far, keep, 1)), np.take_along_axis(both, keep, 1), -1)
+        size = (both >= 0).sum(axis=1)
+        both = -np.sort(-both, axis=1)
+        order = np.argsort(size, kind="stable")
+        for i in range(0, len(order), 256):  # of like sizes
+            rows = order[i : i + 256]
+            some = both[rows, : max(int(size[rows].max()), 1)]
+            far = np.where(some >= 0, self._distances(self.x[targets[rows]], np.maximum(some, 0)), np.inf)
+            by = np.argsort(far, axis=1)
+            some, far = np.take_along_axis(some, by, 1), np.take_along_axis(far, by, 1)
+            if some.shape[1] > width:
+                some, far = self._chosen(some, far, width)
+            table[targets[rows]] = -1
+            table[targets[rows], : some.shape[1]] = np.where(np.isfinite(far), some, -1)
+
+    def _chosen(self, ids: np.ndarray, far: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``width`` of each row's candidates, which come nearest first, by ``_spread``."""
+        out = np.empty((len(ids), min(width, ids.shape[1])), np.int64)
+        step = max(1, (1 << 24) // (ids.shape[1] * max(ids.shape[1], self.x.shape[1])))
+        for i in range(0, len(ids), step):
+            y = self.x[np.maximum(ids[i : i + step], 0)]
+            norm = (y * y).sum(axis=2)
+            between = norm[:, :, None] + norm[:, None, :] - 2 * (y @ y.transpose(0, 2, 1))
+            out[i : i + step] = _spread(between, far[i : i + step], width)
+        return np.where(np.isfinite(np.take_along_axis(far, out, 1)), np.take_along_axis(ids, out, 1), -1), np.take_along_axis(far, out, 1)
 
     def _descend(self, q: np.ndarray, level: int) -> np.ndarray:
-        """The nearest point found on the layers above ``level``, greedily."""
-        at = np.full(len(q), self.entry)
-        best = ((self.x[at] - q) ** 2).sum(axis=1)
+        """Points to start from on ``level`` (m, starts): the best found on the layer above, from its best, and so on."""
+        at = np.full((len(q), 1), self.entry)
         for upper in range(len(self.layers) - 1, level, -1):
-            moving = np.arange(len(q))
-            while len(moving):
-                near = self.layers[upper][at[moving]]
-                far = np.where(near >= 0, self._distances(q[moving], np.maximum(near, 0)), np.inf)
-                k = far.argmin(axis=1)
-                d = far[np.arange(len(moving)), k]
-                better = d < best[moving]
-                moving, k, d, near = moving[better], k[better], d[better], near[better]
-                at[moving], best[moving] = near[np.arange(len(moving)), k], d
+            at = self._beam(upper, q, at, STARTS)[0]
+            at = at[:, : max(int((at >= 0).sum(axis=1).max(initial=0)), 1)]
         return at
 
     def _beam(self, level: int, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +148,12 @@ class Graph:
         m, table = len(q), self.layers[level]
         ids, dist = np.full((m, beam), -1), np.full((m, beam), np.inf, np.float32)
         opened = np.ones((m, beam), bool)
-        ids[:, 0], dist[:, 0], opened[:, 0] = start, ((self.x[start] - q) ** 2).sum(axis=1), False
+        start = start[:, :beam]
+        s, known = start.shape[1], start >= 0
+        ids[:, :s], opened[:, :s] = start, ~known
+        dist[:, :s] = np.where(known, self._distances(q, np.maximum(start, 0)), np.inf)
         seen = np.zeros((m, self.n), bool)
-        seen[np.arange(m), start] = True
+        seen[np.nonzero(known)[0], start[known]] = True
         live = np.arange(m)
         while len(live):
             score = np.where(opened[live], np.inf, dist[live])

@@ -239,6 +239,20 @@ def test_nearest(spark):
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] and len(few) == 2
 
 
+def test_nearest_in_tight_groups():
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(80, 64))
+    x = centre[rng.integers(0, 80, ann.SHARD)] + 0.05 * rng.normal(size=(ann.SHARD, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    score = x[::20] @ x.T
+    exact = np.argsort(-score, axis=1)[:, :21]
+    hits = 0
+    for row, found, best in zip(score, ann.Graph(x).search(x[::20]), exact, strict=True):
+        found = found[found >= 0]
+        hits += len(set(found[np.argsort(-row[found])[:21]]) & set(best))
+    assert hits / exact.size >= 0.99
+
+
 def test_empty_tables(spark, empty):
     assert suffix_dedup.deduplicate(empty).count() == 0
     assert phrase_dedup.deduplicate(empty).count() == 0
