@@ -173,7 +173,7 @@ def graph_largest_fraction(spark, sf):
 
 @query()
 def graph_removal_response(spark, sf):
-    return network.removal_response(nodes(spark, sf), edges(spark, sf), [0.0, 0.25, 0.5, 0.75, 0.9], repeats=20)
+    return network.removal_response(nodes(spark, sf), edges(spark, sf), [k / 10 for k in range(9)])
 
 
 _RANK_SQL = _with(""", x as (select gid, ni || '_' || nj || '_' || a || '_' || b || '_' || c uid, bar, (abs(a) + abs(b) + abs(c)) * 0.01::double spread, a + b + c = 0 lab, ni = nj ood from e),
