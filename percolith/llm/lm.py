@@ -4,7 +4,8 @@ The model predicts a token in two steps, P(class | two classes before) P(token |
 frequent tokens are classes of their own, as is the end of a document; all others share classes by their
 last two bytes.  The first factor is the log-bilinear network: the context's class vectors, scaled by
 place, are multiplied with every class's output vector.  It is trained in numpy by noise-contrastive
-estimation on the class triples of all training documents; then one batched matrix product over all
+estimation on ``STEPS`` times ``BATCH`` draws, with replacement, from the histogram of the class triples of
+all training documents: a fixed number, whatever the corpus.  Then one batched matrix product over all
 contexts and a log-softmax give normalised log-probabilities, which scoring looks up.  The second factor
 is (c + 1) / (N_k + V_k + 1) over the counts of all training documents, one place left for unseen tokens.
 
