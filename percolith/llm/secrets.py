@@ -3,8 +3,10 @@
 Text that a vocabulary was made for takes few tokens; a random string takes many.  Runs of the
 characters that keys are written in, of ``MIN_RUN`` or more, are encoded under a public tiktoken
 vocabulary, and those with fewer than ``MAX_RATIO`` characters a token are reported as ``dense``, after
-excluding known digests (hexadecimal of a digest's length), UUIDs, and identifiers (parts that are all
-letters, or all digits and short).
+excluding known digests (hexadecimal of a digest's length), UUIDs, runs without a letter, and identifiers
+(parts that look like words, with a few digits after, or short numbers).  Runs without a digit must be under
+``LETTERS_RATIO``, as words of languages that the vocabulary was not made for take many tokens too.  A run
+of which base spans leave fewer than ``REST`` characters is not reported again.
 
 Edge cases: null counts as empty; an empty text has no span and the digest of the empty string.
 Repeated rows are scanned each for itself.  Spans count code points of the text as it stands.
@@ -32,12 +34,14 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _NEEDLES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_VALUE = 12
 
-MIN_RUN = 20
-MAX_RATIO = 2.3
+MIN_RUN = 16
+MAX_RATIO, LETTERS_RATIO = 2.3, 1.95
+REST = 4
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
-_PART = re.compile(r"[A-Za-z]*\d{0,4}\Z")
+_PART = re.compile(r"([A-Za-z]*)\d{0,4}\Z")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _HEX_CLASS = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _RUN_CLASS = bytes(1 if re.match(r"[A-Za-z0-9+/_.=-]", chr(b)) and b < 128 else 0 for b in range(256))
@@ -56,16 +60,22 @@ def _encoding(path: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Words, dotted or joined names, versions and paths: each part is letters with a few digits after, or digits."""
-    return all(_PART.match(part) for part in re.split(r"[+/_.=-]+", run)) and not re.search(r"[a-z][A-Z]{2,}[a-z]|[A-Z]{3,}\d", run)
+    """Words, dotted or joined names, versions and paths: each part is words with a few digits after, or digits."""
+    parts = [_PART.match(part) for part in re.split(r"[+/_.=-]+", run)]
+    if not all(parts) or re.search(r"[a-z][A-Z]{2,}[a-z]|[A-Z]{3,}\d", run):
+        return False
+    words = [w for m in parts for w in _WORD.findall(m[1])]
+    # random letters change case every few places, or have long pieces, or pieces without a vowel
+    return 3 * len(words) <= sum(map(len, words)) and all(len(w) < 14 and (len(w) < 4 or re.search("(?i)[aeiouy]", w)) for w in words)
 
 
 def dense_runs(text: str, path: str) -> Iterator[tuple[int, int]]:
     for m in _RUN.finditer(text):
         run = m[0]
-        if _DIGEST.match(run) or _UUID.match(run) or not re.search(r"\d", run) or not re.search(r"[A-Za-z]", run) or is_identifier(run):
+        if _DIGEST.match(run) or _UUID.match(run) or not re.search(r"[A-Za-z]", run) or is_identifier(run):
             continue
-        if len(run) < MAX_RATIO * len(_encoding(path).encode_ordinary(run)):
+        ratio = MAX_RATIO if re.search(r"\d", run) else LETTERS_RATIO
+        if len(run) < ratio * len(_encoding(path).encode_ordinary(run)):
             yield m.start(), m.end()
 
 
@@ -78,7 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], path: str) -> list[tuple[int, int, int]]:
-    more = [(a, 3, b) for a, b in dense_runs(text, path) if not any(s < b and a < e for s, _, e in base)]
+    covered = lambda a, b: len({i for s, _, e in base for i in range(max(a, s), min(b, e))})
+    more = [(a, 3, b) for a, b in dense_runs(text, path) if b - a - covered(a, b) >= REST]
     return sorted([*base, *more])
 
 

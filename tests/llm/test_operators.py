@@ -189,6 +189,12 @@ def test_secret_scan(spark):
     assert out[7] == "hex:0:32" and "dense" not in out[8] and out[9] == ""
 
 
+def test_dense_runs_without_digits_short_or_covered_in_part(spark):
+    texts = ["a kQzWvXjPbTnRmLsDfGhY2024 b", "a qZkTxWvJpRbNmLsDfGhYcXuE b", "k 7GtXq2LmZ9vRb4Wc", "bcQ7xZ/9kWv3LpT8mJr2YdN6+deadbeefdeadbeef", "internationalization2 getUserAccountBalanceById2 org.apache.spark.sql.functions nichteinungeinkeit"]
+    out = [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert out == ["dense:2:26", "dense:2:26", "dense:2:18", "dense:0:41,hex:25:41", ""]
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(1)
     vocab = {"aa": "tha ing ent ion the and", "bb": "sch ung der die ein und"}
