@@ -17,7 +17,8 @@ fewer coordinates than the threshold by six standard deviations; every other pai
 components is compared in full, so no link within a bucket is lost (but for one in 10**8).
 
 The chance that a pair of similarity s shares no bucket is (1 - s**rows)**bands: 2e-7 at 0.85 with 8 rows
-and 48 bands, 2e-6 at 0.8 with 7 and 56.  Classes are told apart by a 64-bit digest of the set.
+and 48 bands, 2e-6 at 0.8 with 7 and 56; for lower
+thresholds rows and bands are chosen for 1e-5 at most.  Classes are told apart by a 64-bit digest of the set.
 
 Edge cases: a null text or one without words has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle.  A null doc_id is no smallest doc_id: a component of nothing else has a
@@ -26,6 +27,7 @@ null component_id and is kept.  Rows that share doc_id and text get equal result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ from ._spark import arrow_map, as_batch, key_filter, keyed, partitions, passes,
 from ._text import Block, Words, blocks, mix, spans_hash
 
 SHINGLE = 5
+#: Greatest chance of missing a pair at the threshold, and most coordinates of a sketch for it.
+MISS, COORDINATES = 1e-5, 400
 #: Members of a small bucket; rounds of centres for larger ones, and of how many buckets a round; pairs of two
 #: components in the first round, sixteen times as many in each that follows.
 SMALL, STARS, CENTRES, FIRST = 64, 2, 6, 8
@@ -46,8 +50,17 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def banding(similarity: float) -> tuple[int, int]:
-    """(bands, rows) for a threshold."""
-    return (48, 8) if similarity >= 0.85 else (56, 7)
+    """(bands, rows) for a threshold, at which a pair is missed with a chance of ``MISS`` at most.
+
+    Under 0.8 the most rows that do with ``COORDINATES``; thresholds that one row does not do for are refused.
+    """
+    if similarity >= 0.8:
+        return (48, 8) if similarity >= 0.85 else (56, 7)
+    for rows in range(6, 0, -1):
+        share = similarity**rows
+        if share > 0 and (bands := math.ceil(math.log(MISS) / math.log1p(-share))) * rows <= COORDINATES:
+            return bands, rows
+    raise ValueError(f"no banding finds pairs of similarity {similarity}")
 
 
 def shingle_sets(block: Block, k: int) -> list[np.ndarray]:

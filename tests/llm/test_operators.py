@@ -112,6 +112,23 @@ def test_near_duplicates(docs, rows, monkeypatch, stars, small, percent):
     same(out, brute.op5([r for r in {x[0]: x for x in pairs(rows)}.values() if r[0] is not None], percent))
 
 
+@pytest.mark.parametrize("similarity", [0.05, 0.2, 0.35, 0.5, 0.6, 0.7, 0.75, 0.79, 0.8, 0.85, 0.95])
+def test_banding_misses_few_pairs(similarity):
+    bands, width = near_dup.banding(similarity)
+    assert (1 - similarity**width) ** bands <= near_dup.MISS and bands * width <= near_dup.COORDINATES
+
+
+def test_thresholds_without_banding_are_refused():
+    with pytest.raises(ValueError):
+        near_dup.banding(0.01)
+
+
+def test_near_duplicates_at_half(docs, rows):
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    out = near_dup.near_duplicates(known, similarity=0.5).select("_id", "n_shingles", "component_id", "kept")
+    same(out, brute.op5([r for r in {x[0]: x for x in pairs(rows)}.values() if r[0] is not None], 50))
+
+
 def test_near_duplicates_of_odd_rows(docs):
     out = near_dup.near_duplicates(docs, similarity=0.85).collect()
     assert len(out) == docs.count() and all(r.n_shingles > 0 or (r.component is None and r.component_id == r._id) for r in out)
