@@ -137,7 +137,7 @@ def _chained(rows: DataFrame, names: list[str]) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    from ..llm._spark import stored
+    from ..shared import stored
 
     spark = rows.sparkSession
     rows = rows.select("k", F.col(names[0]).alias("x"), F.col(names[-1]).alias("y"))
@@ -192,7 +192,7 @@ def _peeled(rows: DataFrame, names: list[str]) -> DataFrame:
     """Every front is appended to one folder; only the rows left are kept beside it."""
     import uuid
 
-    from ..llm._spark import shared_folder
+    from ..shared import delete, shared_folder
 
     spark = rows.sparkSession
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -210,8 +210,7 @@ def _peeled(rows: DataFrame, names: list[str]) -> DataFrame:
         # by values, as rows equal to one of the front are in it too; keys need not be distinct
         left = put(left.join(front.select(*names).distinct(), names, "left_anti").select(*rows.columns), f"left{layer}")
         for old in (f"left{layer - 1}", f"front{layer}"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, f"{folder}/{old}")
     return out
 
 
