@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop, shared_folder, stored
+
 #: Key of a row: its doc_id and a hash of its text.  Rows equal in both get equal results from every operator here.
 KEY = ["_id", "_th"]
+#: Bytes of an Arrow batch, or one row if that is longer.
+BATCH_BYTES = 8 << 20
 
 
 def keyed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -36,10 +38,19 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]
         for batch in batches:
             for found in function(batch):
                 yield as_batch(found, target)
+        pa.default_memory_pool().release_unused()
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches end at ``BATCH_BYTES`` at most, so long texts don't fill a worker; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     made = []
     for field in target:
@@ -50,57 +61,37 @@ def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=target)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, the session gets its own."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="percolith-")
-        context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder as Parquet and read again: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Arrow batches of at most that many rows in what runs within; for rows that carry whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = 26) -> np.ndarray:
-    """A bitmap of 2**bits slots with those of all keys set, as bytes.
+FILTER_BITS = 26
+
+
+def key_filter(keys: DataFrame, column: str | None) -> np.ndarray:
+    """A bitmap of 2**``FILTER_BITS`` slots with those of all keys set, as bytes; ``keys`` may be ``key_bits`` (no column).
 
     Its size is fixed, so it may be broadcast.  A key that was never added may pass; callers treat a
     pass as a candidate only, so a full bitmap costs time and never changes a result.
     """
-    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    bit = F.expr(f"shiftleft(1L, cast({column} & 63L as int))")
-    words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
+    if column is not None:
+        slot = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        keys = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("b"))
+    words = keys.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(np.uint8)
 
 
+def key_bits(keys: np.ndarray) -> dict:
+    """The bitmap's words that some keys set, as columns w and b."""
+    slot = np.unique(keys.astype(np.uint64, copy=False) & np.uint64((1 << FILTER_BITS) - 1))
+    word = (slot >> np.uint64(6)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    return {"w": word[at].astype(np.int32), "b": np.bitwise_or.reduceat(bit, at) if len(at) else bit}
+
+
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = keys.astype(np.uint64, copy=False) & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0

@@ -38,13 +38,14 @@ CLASSES = {"plain": (bytes(_PLAIN), _SAME), "folded": (bytes(_PLAIN), LOWER), "a
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown as needed."""
+    """base**0 .. base**(n-1) modulo 2**64; those for blocks of usual size are kept."""
     key, have = int(base), _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        have = np.full(size, base, np.uint64)
+        have = np.full(max(n, BLOCK_BYTES + 2), base, np.uint64)
         have[0] = 1
-        _powers[key] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if len(have) <= 4 * BLOCK_BYTES + 2:
+            _powers[key] = have
     return have[:n]
 
 
