@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map
+from ._spark import arrow_map, bound_batches
 from ._text import text_buffers
 
 #: N-grams of a profile.
@@ -67,18 +67,29 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
         yield buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace") if valid[i] else None
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def _count_batch(batch: pa.RecordBatch) -> Iterator[dict]:
     parts: dict[str, list] = {}
+    held: dict[str, int] = {}
     for lang, text in zip(batch.column("lang").to_pylist(), _texts(batch.column("text")), strict=True):
         if text:
-            parts.setdefault(lang, []).append(counted(ngrams(text)))
+            mine = parts.setdefault(lang, [])
+            mine.append(counted(ngrams(text)))
+            held[lang] = held.get(lang, 0) + len(mine[-1][0])
+            if held[lang] > 1 << 19:  # what is held stays small, however many documents a batch has
+                mine[:] = [_summed(mine)]
+                held[lang] = 0
     for lang, found in parts.items():
-        codes, n = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
+        codes, n = _summed(found)
         if len(codes):
-            at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            yield {"lang": pa.array([lang] * len(at)), "code": codes[at].view(np.int64), "n": np.add.reduceat(n, at)}
+            yield {"lang": pa.array([lang] * len(codes)), "code": codes.view(np.int64), "n": n}
 
 
 def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, np.ndarray]:
@@ -138,19 +149,23 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text: str = "te
     """``keep`` columns of every row with lang_pred and score; no shuffle.  The profiles are a bounded broadcast."""
     keep = list(docs.columns if keep is None else keep)
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size))
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
-    fields = [*inner.schema.fields[:-1]]
+    inner = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], docs[f"`{text}`"].cast("string").alias("_text"))
+    at = len(keep)
+    if text in keep and inner.schema[keep.index(text)].dataType == inner.schema["_text"].dataType:
+        inner, at = inner.drop("_text"), keep.index(text)  # a text that is kept travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            said = [model.predict(x) for x in _texts(batch.column(batch.num_columns - 1))]
-            names = [*batch.schema.names[:-1], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=names)
+            said = [model.predict(x) for x in _texts(batch.column(at))]
+            columns = batch.columns[: len(keep)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    out = inner.mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    bound_batches(docs.sparkSession)
+    out = inner.mapInArrow(run, StructType([*inner.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
