@@ -5,18 +5,24 @@ smaller doc_id is removed.
 
 1. A window's anchor phrase is its least run of ``PHRASE`` words, so equal windows have equal anchor
    phrases at equal offsets; consecutive windows with one anchor form a run, its words a *passage*.
-   Phrases are counted by document; a bitmap of fixed size lets through passages whose phrase recurs.
-2. Passages are confirmed: for each different passage the smallest doc_id, then for each window the
-   smallest doc_id over the passages that share its phrase.  Passages are dealt by phrase; the windows
-   of a phrase with over ``HOT`` passages are counted by digest with partial sums instead, which no key
-   can skew.
-3. Documents are dealt to buckets of about ``BUCKET_BYTES``, and each bucket is told which confirmed
-   passages its documents hold.  The bucket's phrases are compiled into one automaton and its documents
-   are streamed through it; at every occurrence of a phrase the passages are compared in full, and the
-   words of windows that an earlier document has are removed.
-
-Edge cases: null has no words; a document under ``length`` words is kept whole.  A row without doc_id has
-no earlier document and is earlier than none.  Rows that share a doc_id are not earlier than each other.
+   For every phrase the smallest and largest doc_id and passage digest are partial aggregates.
+2. Phrases of two documents or more are confirmed.  If all passages of a phrase are one, its smallest
+   doc_id holds for all windows.  Otherwise the windows are confirmed one by one: windows are combined
+   within a batch, packed by shard (a hash of phrase and window, so no phrase or passage can fill a
+   shard), and a shard keeps those of two documents with the smallest.  All phrases go this way, whatever
+   their number of passages.
+3. Documents are dealt to buckets of about ``BUCKET_BYTES``.  Every bucket asks the shards for what its
+   documents hold, a window once a batch.  The confirmed passages (stretches of confirmed windows) are
+   compiled into the bucket's automaton by their phrases, its documents are streamed through it, and at
+   every occurrence of a phrase the passages are compared in full; the words of windows that an earlier
+   document has are removed.
+
+Windows are told apart by 64 bits of phrase and 64 bits of window.
+
+Edge cases: null has no words; a document under ``length`` words is kept whole, and an empty table gives
+an empty table.  A row without doc_id has no earlier document and is earlier than none.  Rows that share a
+doc_id, or are equal, are not earlier than each other.  A text of any length is one row of one bucket.
+Other columns take no part.
 """
 
 from __future__ import annotations
@@ -29,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, key_filter, keyed, partitions, passes, same_row, stored
+from ._shards import HELD, PACKED, Known, answers, bitmap, combined, joint, packed, recurring, rows_of
+from ._spark import arrow_map, key_filter, keyed, partitions, passes, stored
 from ._text import Block, Words, anchored_runs, blocks, ranges, spans_hash
 
 LENGTH = 50
 PHRASE = 8
-HOT = 512
-#: Bytes of documents in a bucket, and passages in a shard.
+#: Bytes of documents in a bucket, and windows of a shard.
 BUCKET_BYTES = 2 << 20
-SHARD_PASSAGES = 20_000
+SHARD_WINDOWS = 1 << 20
 
 
 class Runs:
@@ -56,143 +62,101 @@ class Runs:
         self.doc = np.searchsorted(words.first, lo, side="right") - 1
         self.digest = spans_hash(words.hash, lo, self.end, 1)
 
+    def windows(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of some runs: the run and the hash of each."""
+        n = (self.end - self.lo - length + 1)[which]
+        first = ranges(self.lo[which], n)
+        return np.repeat(which, n), spans_hash(self.words.hash, first, first + length, 2)
+
 
 def _phrases(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
+    """Per phrase of a batch: smallest and largest doc_id, least and greatest digest of a passage, windows."""
     ids = batch.column("_id").to_numpy()
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    found = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)]
     for block in blocks(batch.column("_text")):
         runs = Runs(block, length)
-        keys.append(runs.key)
-        docs.append(ids[block.first + runs.doc])
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+        found.append((runs.key, ids[block.first + runs.doc], runs.digest.view(np.int64), runs.end - runs.lo - length + 1))
+    key, doc, digest, n = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(key):
         return
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    order = np.argsort(key, kind="stable")
+    key, doc, digest, n = key[order], doc[order], digest[order], n[order]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    last = np.r_[at[1:], len(key)] - 1
-    yield {"h": key[at], "lo": doc[at], "hi": doc[last]}
+    yield {"h": key[at], "lo": np.minimum.reduceat(doc, at), "hi": np.maximum.reduceat(doc, at), "c": np.minimum.reduceat(digest, at), "d": np.maximum.reduceat(digest, at), "m": np.add.reduceat(n, at)}
 
 
-def _distinct(batch: pa.RecordBatch, length: int, *filters) -> Iterator[tuple[Runs, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block its runs that pass a filter, one of each passage, with the smallest and largest doc_id of each."""
+def _windows(batch: pa.RecordBatch, length: int, several, shards: int) -> Iterator[dict]:
+    """The windows of phrases that have more than one passage, once a batch."""
     ids = batch.column("_id").to_numpy()
-    for block in blocks(batch.column("_text"), 1 << 20):
-        runs = Runs(block, length)
-        keep = np.flatnonzero(np.logical_or.reduce([passes(f.value, runs.key) for f in filters]))
-        doc = ids[block.first + runs.doc[keep]]
-        order = np.lexsort((doc, runs.digest[keep], runs.key[keep]))
-        keep, doc = keep[order], doc[order]
-        if not len(keep):
-            continue
-        h, c = runs.key[keep], runs.digest[keep]
-        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        yield runs, keep[at], doc[at], doc[np.r_[at[1:], len(h)] - 1]
-
-
-def _passages(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
-    """Passages with the smallest and largest doc_id that have them, and their windows."""
-    for runs, at, lo, hi in _distinct(batch, length, bitmap):
-        yield {"h": runs.key[at], "c": runs.digest[at], "lo": lo, "hi": hi, "n": runs.end[at] - runs.lo[at] - length + 1}
-
-
-def _windowed(batch: pa.RecordBatch, length: int, few, many) -> Iterator[dict]:
-    """Passages of phrases that have several, with a hash of each window (told apart within a phrase only)."""
-    for runs, at, lo, hi in _distinct(batch, length, few, many):
-        n = runs.end[at] - runs.lo[at] - length + 1
-        first = ranges(runs.lo[at], n)
-        w = spans_hash(runs.words.hash, first, first + length, 2).tobytes() if len(first) else b""
-        cuts = 8 * np.r_[0, np.cumsum(n)]
-        yield {"h": runs.key[at], "c": runs.digest[at], "lo": lo, "hi": hi, "crowd": passes(many.value, runs.key[at]), "windows": [w[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]}
-
-
-def _used(batch: pa.RecordBatch, length: int, bitmap) -> Iterator[dict]:
-    """Which bucket holds which passages."""
+    found = [np.zeros((0, 4), np.int64)]
+    for block in blocks(batch.column("_text")):
+        runs = Runs(block, length, several.value)
+        run, w = runs.windows(np.arange(len(runs.key)), length)
+        doc = ids[block.first + runs.doc[run]]
+        found.append(np.column_stack((runs.key.view(np.int64)[run], w.view(np.int64), doc, doc)))
+    yield packed(combined(np.concatenate(found)), shards)
+
+
+def _lone(batch: pa.RecordBatch, shards: int) -> Iterator[dict]:
+    yield packed(np.column_stack([batch.column(k).to_numpy() for k in ("h", "c", "lo")]), shards)
+
+
+def _asked(batch: pa.RecordBatch, length: int, known, several, kept, shards: int) -> Iterator[dict]:
+    """What a batch's documents hold: passages of phrases that have only one, else windows; each with its bucket."""
     bucket = batch.column("bucket").to_numpy()
     found = [np.zeros((0, 3), np.int64)]
     for block in blocks(batch.column("_text")):
-        runs = Runs(block, length, bitmap.value)
-        found.append(np.stack((bucket[block.first + runs.doc].astype(np.int64), runs.key.view(np.int64), runs.digest.view(np.int64)), axis=1))
-    x = np.unique(np.concatenate(found), axis=0)
-    yield {"bucket": x[:, 0], "h": x[:, 1], "c": x[:, 2]}
-
-
-def _ranges(firsts: list[int | None]) -> bytes:
-    """Per-window smallest doc_id as runs (first window, end, doc_id)."""
-    out, i = [], 0
-    while i < len(firsts):
-        j = i
-        while j < len(firsts) and firsts[j] == firsts[i]:
-            j += 1
-        out.append((i, j, firsts[i]))
-        i = j
-    return np.array(out, np.int64).reshape(-1, 3).tobytes()
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest doc_id of every window of a partition's passages; a phrase has at most ``HOT`` of them."""
-    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in ("h", "c", "lo", "hi", "windows")), strict=True)]
-    rows.sort(key=lambda r: r[0])
-    out, i = [], 0
-    while i < len(rows):
-        j = i
-        while j < len(rows) and rows[j][0] == rows[i][0]:
-            j += 1
-        part = rows[i:j]
-        w = np.frombuffer(b"".join(r[4] for r in part), np.int64)
-        size = np.array([len(r[4]) // 8 for r in part])
-        u, which = np.unique(w, return_inverse=True)
-        least = np.full(len(u), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, np.repeat(np.array([r[2] for r in part], np.int64), size))
-        firsts = np.split(least[which], np.cumsum(size)[:-1])
-        last: dict[int, int] = {}
-        for r in part:
-            last[r[1]] = max(last.get(r[1], r[3]), r[3])
-        done = set()
-        for r, f in zip(part, firsts, strict=True):
-            if r[1] not in done and f.min() < last[r[1]]:
-                out.append((r[0], r[1], _ranges(f.tolist())))
-            done.add(r[1])
-        i = j
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["h", "c", "firsts"])
-
-
-def _opened(batch: pa.RecordBatch) -> Iterator[dict]:
-    """One row for every window of a passage."""
-    w = [np.frombuffer(x, np.int64) for x in batch.column("windows").to_pylist()]
-    n = np.array([len(x) for x in w], np.int64)
-    row = np.repeat(np.arange(len(w)), n)
-    h, c, lo = (batch.column(k).to_numpy()[row] for k in ("h", "c", "lo"))
-    yield {"h": h, "c": c, "lo": lo, "w": np.concatenate([np.zeros(0, np.int64), *w]), "k": ranges(np.zeros(len(n), np.int64), n).astype(np.int32)}
-
-
-def _collected(batch: pa.RecordBatch) -> Iterator[dict]:
-    firsts = [_ranges([x["lo"] for x in sorted(found, key=lambda x: x["k"])]) for found in batch.column("found").to_pylist()]
-    yield {"h": batch.column("h"), "c": batch.column("c"), "firsts": firsts}
-
-
-def _whole(batch: pa.RecordBatch) -> Iterator[dict]:
-    """A phrase's only passage: all its windows start in the same first document."""
-    firsts = [_ranges([lo]) if n == 1 else np.array([[0, n, lo]], np.int64).tobytes() for lo, n in zip(batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-    yield {"h": batch.column("h"), "c": batch.column("c"), "firsts": firsts}
-
-
-def _automaton(docs: pa.Table, wanted: dict[tuple[int, int], bytes], length: int):
-    """The automaton of a bucket's confirmed phrases; each leads to its passages, taken from the documents."""
+        runs = Runs(block, length, known.value)
+        many = passes(several.value, runs.key)
+        one = np.flatnonzero(~many)
+        key, at = runs.key.view(np.int64), bucket[block.first + runs.doc]
+        found.append(np.column_stack((key[one], runs.digest.view(np.int64)[one], at[one])))
+        run, w = runs.windows(np.flatnonzero(many), length)
+        again = passes(kept.value, joint(runs.key[run], w))
+        found.append(np.column_stack((key[run[again]], w.view(np.int64)[again], at[run[again]])))
+    table = np.concatenate(found)
+    table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
+    if len(table):
+        table = table[np.r_[True, (table[1:] != table[:-1]).any(axis=1)]]
+    yield packed(table, shards)
+
+
+def _passages(runs: Runs, known: Known, length: int) -> Iterator[tuple[int, int, int, list[list[int]]]]:
+    """Confirmed passages of a block: run, first word, end, and the smallest doc_id of each range of its windows."""
+    whole = known.find(runs.key, runs.digest)
+    for i in np.flatnonzero(whole >= 0).tolist():
+        yield i, int(runs.lo[i]), int(runs.end[i]), [[0, int(runs.end[i] - runs.lo[i]) - length + 1, int(known.table[whole[i], 2])]]
+    run, w = runs.windows(np.flatnonzero((whole < 0) & np.isin(runs.key.view(np.int64), known.phrases)), length)
+    at = known.find(runs.key[run], w)
+    place = np.arange(len(run)) - np.searchsorted(run, run) + runs.lo[run]
+    hit = at >= 0
+    run, place, least = run[hit], place[hit], known.table[at[hit], 2]
+    joined = (run[1:] == run[:-1]) & (place[1:] == place[:-1] + 1)
+    heads = np.flatnonzero(np.r_[True, ~joined]) if len(run) else np.zeros(0, np.int64)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(run)], strict=False):
+        mine = least[a:b]
+        cuts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        yield int(run[a]), int(place[a]), int(place[b - 1]) + length, [[x, y, v] for x, y, v in zip(cuts.tolist(), [*cuts[1:].tolist(), len(mine)], mine[cuts].tolist(), strict=True)]
+
+
+def _automaton(docs: pa.Table, known: Known, length: int):
+    """The automaton of a bucket's confirmed phrases; each leads to its passages."""
     import ahocorasick
 
-    automaton, left = ahocorasick.Automaton(), dict(wanted)
-    for block in blocks(docs.column("_text"), 1 << 20) if left else ():
+    automaton, seen = ahocorasick.Automaton(), set()
+    for block in blocks(docs.column("_text"), 1 << 20) if len(known.table) else ():
         runs = Runs(block, length)
         raw = block.buf.tobytes()
-        for i, key in enumerate(zip(runs.key.view(np.int64).tolist(), runs.digest.view(np.int64).tolist(), strict=True)):
-            if (firsts := left.pop(key, None)) is None:
+        starts, ends = runs.words.starts, runs.words.ends
+        for i, lo, end, firsts in _passages(runs, known, length):
+            words = raw[starts[lo] : ends[end - 1]].split()
+            passage = " " + b" ".join(words).decode("latin-1") + " "
+            at = int(runs.at[i]) - lo
+            if (passage, at) in seen:
                 continue
-            words = raw[runs.words.starts[runs.lo[i]] : runs.words.ends[runs.end[i] - 1]].split()
-            at = int(runs.at[i] - runs.lo[i])
+            seen.add((passage, at))
             phrase = " " + b" ".join(words[at : at + PHRASE]).decode("latin-1") + " "
-            back = sum(len(w) + 1 for w in words[:at]) + len(phrase)
-            entry = (" " + b" ".join(words).decode("latin-1") + " ", back, np.frombuffer(firsts, np.int64).reshape(-1, 3).tolist())
+            entry = (passage, sum(len(w) + 1 for w in words[:at]) + len(phrase), firsts)
             if phrase in automaton:
                 automaton.get(phrase).append(entry)
             else:
@@ -202,10 +166,10 @@ def _automaton(docs: pa.Table, wanted: dict[tuple[int, int], bytes], length: int
     return automaton
 
 
-def _locate(docs: pa.Table, passages: pa.Table, length: int) -> pa.Table:
+def _locate(docs: pa.Table, found: pa.Table, length: int) -> pa.Table:
     """One bucket: compile its phrases, stream its documents, remove what earlier documents have."""
-    wanted = dict(zip(zip(passages.column("h").to_pylist(), passages.column("c").to_pylist(), strict=True), passages.column("firsts").to_pylist(), strict=True))
-    automaton = _automaton(docs, wanted, length)
+    known = Known(np.concatenate([np.zeros((0, 3), np.int64), *(rows_of(x, 3) for x in found.column("rows").to_pylist())]))
+    automaton = _automaton(docs, known, length)
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
     for doc_id, text in zip(docs.column("_id").to_pylist(), docs.column("_text").cast(pa.binary()).to_pylist(), strict=True):
         words = text.split()
@@ -235,7 +199,7 @@ def _locate(docs: pa.Table, passages: pa.Table, length: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary())})
 
 
-def deduplicate(docs: DataFrame, *, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", outputs: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", outputs: bool = False, held: int = HELD) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and the text kept (UTF-8) if ``outputs``."""
     spark = docs.sparkSession
     rows = keyed(docs, text=text, doc_id=doc_id)
@@ -244,27 +208,20 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, text: str = "text", do
     buckets = int(size // BUCKET_BYTES) + 1
     bucket = F.pmod(F.xxhash64("_id", "_th"), F.lit(buckets))
 
-    phrases = arrow_map(known.select("_id", "_text"), lambda b: _phrases(b, length), "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    bitmap = spark.sparkContext.broadcast(key_filter(phrases.where("lo < hi"), "h"))
-
-    found = arrow_map(known.select("_id", "_text"), lambda b: _passages(b, length, bitmap), "h long, c long, lo long, hi long, n long")
-    passages = stored(found.groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n").alias("n")))
-    shape = passages.groupBy("h").agg(F.count("*").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("c").alias("c"), F.first("n").alias("n")).where("lo < hi")
-    few = spark.sparkContext.broadcast(key_filter(shape.where(F.col("k").between(2, HOT)), "h"))
-    many = spark.sparkContext.broadcast(key_filter(shape.where(F.col("k") > HOT), "h"))
-    kinds = "h long, c long, firsts binary"
-    lone = arrow_map(shape.where("k = 1").select("h", "c", "lo", "n"), _whole, kinds)
-    several = arrow_map(known.select("_id", "_text"), lambda b: _windowed(b, length, few, many), "h long, c long, lo long, hi long, crowd boolean, windows binary")
-    shards = partitions(spark, int((shape.where(F.col("k").between(2, HOT)).agg(F.sum("k")).first()[0] or 0) // SHARD_PASSAGES) + 1)
-    cold = several.where("not crowd").select("h", "c", "lo", "hi", "windows").repartition(shards, "h").mapInArrow(_confirm, kinds)
-    each = arrow_map(several.where("crowd").select("h", "c", "lo", "windows"), _opened, "h long, c long, lo long, w long, k int")
-    each = each.groupBy("h", "c", "w", "k").agg(F.min("lo").alias("lo"))
-    least = each.groupBy("h", "w").agg(F.min("lo").alias("lo"))
-    hot = each.drop("lo").join(least, ["h", "w"]).groupBy("h", "c").agg(F.collect_list(F.struct("k", "lo")).alias("found"))
-    confirmed = lone.unionByName(cold).unionByName(arrow_map(hot, _collected, kinds))
-
-    used = arrow_map(known.select(bucket.alias("bucket"), "_text"), lambda b: _used(b, length, bitmap), "bucket long, h long, c long").distinct()
-    dealt = used.join(confirmed, ["h", "c"]).select("bucket", "h", "c", "firsts")
+    counted = arrow_map(known.select("_id", "_text"), lambda b: _phrases(b, length), "h long, lo long, hi long, c long, d long, m long")
+    counted = counted.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("c").alias("c"), F.max("d").alias("d"), F.sum("m").alias("m"))
+    phrases = stored(counted.where("lo < hi"))
+    windows = phrases.where("c <> d").agg(F.sum("m")).first()[0] or 0
+    shards = partitions(spark, int(windows // SHARD_WINDOWS) + 1)
+    again = spark.sparkContext.broadcast(key_filter(phrases, "h"))
+    several = spark.sparkContext.broadcast(key_filter(phrases.where("c <> d"), "h"))
+
+    opened = arrow_map(known.select("_id", "_text"), lambda b: _windows(b, length, several, shards), PACKED)
+    confirmed = stored(recurring(opened, shards, held))
+    kept = spark.sparkContext.broadcast(bitmap(confirmed))
+    lone = arrow_map(phrases.where("c = d").select("h", "c", "lo"), lambda b: _lone(b, shards), PACKED)
+    asked = arrow_map(known.select(bucket.alias("bucket"), "_text"), lambda b: _asked(b, length, again, several, kept, shards), PACKED)
+    dealt = answers(confirmed.unionByName(lone), asked, shards, held)
     left = rows.select(bucket.alias("bucket"), "_id", "_text").groupBy("bucket")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     out = left.cogroup(dealt.groupBy("bucket")).applyInArrow(lambda a, b: _locate(a, b, length), kind).withColumnRenamed("doc_id", doc_id)

@@ -95,16 +95,15 @@ def test_run_index():
         assert index.lengths.sum() == index.n and len(index.letters) <= index.n
 
 
-@pytest.mark.parametrize("hot,length", [(512, 20), (1, 20), (512, 50)])
-def test_phrase_dedup(docs, rows, monkeypatch, hot, length):
-    monkeypatch.setattr(phrase_dedup, "HOT", hot)
-    same(phrase_dedup.deduplicate(docs, length=length), brute.op10(pairs(rows), length))
+@pytest.mark.parametrize("held,length", [(1 << 20, 20), (8, 20), (1 << 20, 50)])
+def test_phrase_dedup(docs, rows, held, length):
+    same(phrase_dedup.deduplicate(docs, length=length, held=held), brute.op10(pairs(rows), length))
 
 
-@pytest.mark.parametrize("stars,small,percent", [(4, 64, 85), (1, 2, 80), (0, 2, 50)])
-def test_near_duplicates(docs, rows, monkeypatch, stars, small, percent):
-    monkeypatch.setattr(near_dup, "STARS", stars)
-    monkeypatch.setattr(near_dup, "SMALL", small)
+@pytest.mark.parametrize("chunk,more,percent", [(4096, 32, 85), (3, 2, 80), (2, 4, 50)])
+def test_near_duplicates(docs, rows, monkeypatch, chunk, more, percent):
+    monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dup, "MORE", more)
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     if percent < 80:
         monkeypatch.setattr(near_dup, "banding", lambda s: (64, 3))
