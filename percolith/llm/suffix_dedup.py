@@ -12,14 +12,15 @@ or another, is removed; matches never cross documents.
    Burrows-Wheeler transform is run-compressed, and the places and common-prefix lengths at the ends of
    its runs are sampled.  Between samples these lengths fall by one a byte, so streaming the text over
    the samples gives every place's matching statistic; those of ``length`` or more are marked.
-   An anchor with over ``HOT`` different contexts would overfill its shard.  Its strings are halved in
-   on instead: those whose offset from the anchor falls in one range share a core, cores are counted by
-   digest with partial sums, and only ranges whose core recurs are cut into finer ones, down to single
-   strings.  No key can skew this, and it is exact.
+   An anchor with over ``HOT`` different contexts would overfill its shard.  Its strings are closed in on
+   instead: those whose offset from the anchor falls in one range share a core; cores are combined within a
+   batch, packed by shard (a hash of the core), and only ranges whose core is in two contexts are cut into
+   finer ones, down to single strings, which are confirmed exactly.  No key can skew this.
 4. Marks go back to the documents that hold the context, and the bytes left are joined.
 
-Edge cases: null counts as empty; a document under ``length`` bytes is kept whole.  Repeated rows count
-as documents of their own, so both lose what they share.
+Edge cases: null counts as empty; a document under ``length`` bytes is kept whole, and an empty table gives an
+empty table.  Repeated rows count as documents of their own, so both lose what they share; there are no ties,
+as every copy goes.  A text of any length is one row, read as a block of its own.  Other columns take no part.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shards import PACKED, Known, answers, bitmap, combined, joint, packed, recurring, rows_of
 from ._spark import arrow_map, key_filter, keyed, partitions, passes, same_row, stored
-from ._text import anchored_runs, as_letters, blocks, byte_grams, merged, mix, ranges, spans_hash
+from ._text import Block, anchored_runs, as_letters, blocks, byte_grams, merged, mix, ranges, spans_hash
 
 LENGTH = 200
 GRAM = 24
@@ -209,56 +211,100 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["h", "c", "spans"])
 
 
-#: Ranges that a range of offsets is cut into in a round.
-SPLIT = 8
+#: Bytes of contexts in a group.
+CROWD_BYTES = 1 << 20
 
 
-def _cores(batch: pa.RecordBatch, length: int, width: int) -> Iterator[dict]:
-    """The ranges of ``width`` offsets within each row's range, each with two digests of the bytes its strings share.
+def _widths(length: int) -> list[int]:
+    """Widths of the ranges of offsets, each a part of the one before, down to single strings; all have cores."""
+    return [w for w in (64, 8, 1) if w <= length - GRAM + 1]
 
-    Offsets count from a string's start to the anchor, so equal strings have equal ranges.
+
+def _cores(block: Block, h: np.ndarray, p: np.ndarray, length: int, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of offsets of each context of a block, of the width after those that have filters: context, range, and key.
+
+    Offsets count from a string's start to the anchor, so equal strings have equal ranges.  Only ranges that lie
+    in ranges whose cores passed go on.
     """
-    h, c, n, p, lo, hi = (batch.column(k).to_numpy().astype(np.int64) for k in ("h", "c", "n", "p", "lo", "hi"))
+    # strings of a context start at 0 .. size - length, so their offsets are p - (size - length) .. p
+    size = np.diff(block.off)
+    least, most = np.maximum(0, p - (size - length)), p
+    letters = as_letters(block.buf.tobytes())
+    widths = _widths(length)
+    width = widths[0]
+    first, count = least // width, most // width - least // width + 1
+    doc, part = np.repeat(np.arange(len(p)), count), ranges(first, count)
+    for level, width in enumerate(widths):
+        at = block.off[:-1][doc] + p[doc] - part * width  # the first of the range's strings starts here, its last ends at
+        end = at - width + 1 + length
+        one, two = spans_hash(letters, at, end), spans_hash(letters, at, end, 1)
+        keys = np.column_stack((mix(one ^ mix(h.view(np.uint64)[doc], 7) ^ part.astype(np.uint64), width), two)).view(np.int64)
+        if level == len(filters):
+            return doc, part, keys[:, 0], keys[:, 1]
+        keep = passes(filters[level], joint(keys[:, 0].copy(), keys[:, 1].copy()))
+        doc, part = doc[keep], part[keep]
+        finer = width // widths[level + 1]
+        first, last = np.maximum(part * finer, least[doc] // widths[level + 1]), np.minimum(part * finer + finer - 1, most[doc] // widths[level + 1])
+        count = np.maximum(last - first + 1, 0)
+        doc, part = np.repeat(doc, count), ranges(first, count)
+    raise ValueError("more filters than widths")
+
+
+def _cored(batch: pa.RecordBatch, length: int, shared, shards: int) -> Iterator[dict]:
+    """The cores of a batch, once each; owners are contexts, and one found twice has two."""
+    h, c, n, p = (batch.column(k).to_numpy() for k in ("h", "c", "n", "p"))
+    found = [np.zeros((0, 4), np.int64)]
+    for block in blocks(batch.column("ctx"), 1 << 20):
+        mine = slice(block.first, block.first + len(block))
+        doc, _, one, two = _cores(block, h[mine], p[mine], length, [x.value for x in shared])
+        own, again = c[mine][doc], n[mine][doc] > 1
+        other = np.where(again, own ^ 1, own)
+        found.append(np.column_stack((one, two, np.minimum(own, other), np.maximum(own, other))))
+    yield packed(combined(np.concatenate(found)), shards)
+
+
+def _strings(batch: pa.RecordBatch, length: int, shared, shards: int) -> Iterator[dict]:
+    """The strings to be confirmed, each once for a group of contexts."""
+    h, n, p, group = (batch.column(k).to_numpy() for k in ("h", "n", "p", "g"))
+    found = [np.zeros((0, 3), np.int64)]
     for block in blocks(batch.column("ctx"), 1 << 20):
-        size = np.diff(block.off)
-        i = block.first + np.arange(len(block))
-        # strings of a context start at 0 .. size - length, so their offsets are p - (size - length) .. p
-        least, most = np.maximum(lo[i], np.maximum(0, p[i] - (size - length))), np.minimum(hi[i], p[i])
-        first, last = least // width, most // width
-        count = np.maximum(last - first + 1, 0) * (least <= most)
-        doc = np.repeat(np.arange(len(block)), count)
-        part = ranges(first, count)
-        a, b = np.maximum(part * width, 0), part * width + width - 1
-        # a range that meets the context's offsets has its core within the context
-        start, end = p[i][doc] - a, p[i][doc] - b + length
-        at = block.off[doc]
-        letters = as_letters(block.buf.tobytes())
-        s1, s2 = spans_hash(letters, at + start, at + end), spans_hash(letters, at + start, at + end, 1)
-        row = i[doc]
-        yield {"h": h[row], "c": c[row], "n": n[row], "part": part, "s1": s1, "s2": s2}
-
-
-def _pack(batch: pa.RecordBatch, length: int) -> Iterator[dict]:
-    spans = [_spans(np.sort(p - np.array(x, np.int64)), length) for p, x in zip(batch.column("p").to_pylist(), batch.column("offsets").to_pylist(), strict=True)]
-    yield {"h": batch.column("h"), "c": batch.column("c"), "spans": spans}
-
-
-def _halved(crowd: DataFrame, length: int) -> DataFrame:
-    """(h, c, spans) of contexts that share strings with others of a crowded anchor; rounds follow from ``length`` alone."""
-    width = 1
-    while width < length - GRAM + 1:
-        width *= SPLIT
-    todo = crowd.select("h", "c", "n", "p", F.lit(0).cast("long").alias("lo"), F.lit(width - 1).cast("long").alias("hi"))
-    while width > 1:
-        width //= SPLIT
-        w = width
-        rows = todo.join(crowd.select("h", "c", "ctx"), ["h", "c"])
-        cores = stored(arrow_map(rows.select("h", "c", "n", "p", "lo", "hi", "ctx"), lambda b, w=w: _cores(b, length, w), "h long, c long, n long, part long, s1 long, s2 long"))
-        again = cores.groupBy("h", "part", "s1", "s2").agg(F.sum("n").alias("k")).where("k > 1").drop("k")
-        left = cores.join(again, ["h", "part", "s1", "s2"], "left_semi").select("h", "c", "part")
-        todo = left.join(crowd.select("h", "c", "n", "p"), ["h", "c"]).select("h", "c", "n", "p", (F.col("part") * w).alias("lo"), (F.col("part") * w + w - 1).alias("hi"))
-    found = todo.where("n = 1").groupBy("h", "c").agg(F.first("p").alias("p"), F.collect_list("lo").alias("offsets"))
-    return arrow_map(found, lambda b: _pack(b, length), "h long, c long, spans binary")
+        mine = slice(block.first, block.first + len(block))
+        doc, _, one, two = _cores(block, h[mine], p[mine], length, [x.value for x in shared])
+        ask = n[mine][doc] == 1
+        found.append(np.column_stack((one, two, group[mine][doc]))[ask])
+    yield packed(np.unique(np.concatenate(found), axis=0), shards)
+
+
+def _settled(contexts: pa.Table, found: pa.Table, length: int, shared) -> pa.Table:
+    """Spans of a group's contexts from its confirmed strings."""
+    known = Known(np.concatenate([np.zeros((0, 3), np.int64), *(rows_of(x, 3) for x in found.column("rows").to_pylist())]))
+    out: list[tuple[int, int, bytes]] = []
+    h, c, n, p = (contexts.column(k).to_numpy() for k in ("h", "c", "n", "p"))
+    for block in blocks(contexts.column("ctx"), 1 << 20):
+        mine = slice(block.first, block.first + len(block))
+        doc, offset, one, two = _cores(block, h[mine], p[mine], length, [x.value for x in shared])
+        keep = (n[mine][doc] == 1) & (known.find(one, two) >= 0)
+        doc, start = doc[keep], p[mine][doc[keep]] - offset[keep]
+        for i in np.unique(doc).tolist():
+            out.append((int(h[mine][i]), int(c[mine][i]), _spans(np.sort(start[doc == i]), length)))
+    return pa.table({"h": pa.array([x[0] for x in out], pa.int64()), "c": pa.array([x[1] for x in out], pa.int64()), "spans": pa.array([x[2] for x in out], pa.binary())})
+
+
+def _crowded(crowd: DataFrame, length: int) -> DataFrame:
+    """(h, c, spans) of contexts that share strings with others of a crowded anchor; a round for each width."""
+    spark = crowd.sparkSession
+    size = crowd.agg(F.sum(F.octet_length("ctx")).alias("b")).first()["b"] or 0
+    groups = F.lit(int(size // CROWD_BYTES) + 1)
+    crowd = crowd.select("h", "c", "n", "p", F.pmod(F.xxhash64("h", "c"), groups).alias("g"), "ctx")
+    shards = partitions(spark, int(size // (4 * CROWD_BYTES)) + 1)
+    shared: list = []
+    for _ in _widths(length)[1:]:
+        cores = arrow_map(crowd, lambda b, s=list(shared): _cored(b, length, s, shards), PACKED)
+        shared.append(spark.sparkContext.broadcast(bitmap(recurring(cores, shards))))
+    found = recurring(arrow_map(crowd, lambda b: _cored(b, length, shared, shards), PACKED), shards)
+    asked = arrow_map(crowd, lambda b: _strings(b, length, shared, shards), PACKED)
+    dealt = answers(found, asked, shards).withColumnRenamed("bucket", "g")
+    return crowd.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(lambda a, b: _settled(a, b, length, shared), "h long, c long, spans binary")
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -297,7 +343,7 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, text: str = "text", do
     whole = F.lit(np.array([0, -1], "<i4").tobytes())
     twice = contexts.where("n > 1").select("h", "c", whole.alias("spans"))
     once = contexts.join(mixed, "h", "left_semi").select("h", "c", "n", "ctx").repartition(shards, "h").mapInArrow(lambda b: _shard(b, length), "h long, c long, spans binary")
-    marks = twice.unionByName(once).unionByName(_halved(stored(contexts.join(hot, "h", "left_semi")), length))
+    marks = twice.unionByName(once).unionByName(_crowded(stored(contexts.join(hot, "h", "left_semi")), length))
 
     places = arrow_map(rows, lambda b: _places(b, length, bitmap), "_id long, _th long, h long, c long, lo long, n long")
     covered = places.join(marks, ["h", "c"]).select("_id", "_th", "lo", F.when(F.col("spans") == whole, F.concat(F.lit(np.array([0], "<i4").tobytes()), _le(F.col("n")))).otherwise(F.col("spans")).alias("spans"))
