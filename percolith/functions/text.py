@@ -13,8 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-METAL_WORDS = ("yes", "true", "metal", "1")
+# Categories of elements that count as metals, the pattern of a citation key, the number within a
+# text, the token of a formula, and the synonyms of structure families.
+METAL_CATEGORIES = ("alkali metal", "alkaline earth metal", "metal", "transition metal", "lanthanoid", "actinoid")
 BIBTEX_KEY = r"(?i)@\w+\s*\{\s*([^,\s]+)"
+NUMBER = r"[-+]?\d+(?:\.\d+)?"
+FORMULA_TOKEN = r"([A-Z][a-z]?)(\d+(?:\.\d+)?)?"
+FAMILY_SYNONYMS = {"SPINELS": "SPINEL"}
+#: A whole text that is a number.
+_WHOLE = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 
 
 def sha256(x: Column) -> Column:
@@ -27,8 +34,9 @@ def derived_seed(base: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % 2147483647).cast("long")
 
 
-def stable_id(prefix: str, x: Column, length: int = 20) -> Column:
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(x, 256), 1, length))
+def stable_id(prefix: str, payload: Column, length: int = 20) -> Column:
+    """Prefix and the first digits of the hash of a payload's canonical JSON; the payload is a JSON text, as of ``F.to_json``."""
+    return F.concat(F.lit(prefix + "_"), F.substring(json_sha256(payload), 1, length))
 
 
 def graph_id(fingerprint: Column) -> Column:
@@ -45,17 +53,19 @@ def edge_uid(number: Column) -> Column:
 
 
 def source_group(bibtex: Column, fallback: Column) -> Column:
-    """Citation key of a BibTeX entry; the fallback where there is none or the entry cites itself."""
+    """``SELF`` if that is the whole entry, else its citation key; the fallback where there is none."""
     key = F.regexp_extract(bibtex, BIBTEX_KEY, 1)
-    return F.when((key != "") & (F.upper(key) != "SELF"), key).otherwise(fallback)
+    return F.when(F.upper(F.trim(bibtex)) == "SELF", "SELF").when(key != "", key).otherwise(fallback)
 
 
-def family(x: Column, synonyms: dict[str, str] | None = None) -> Column:
-    name = F.upper(F.regexp_replace(F.trim(x), r"\s+", " "))
-    if not synonyms:
-        return name
-    table = F.create_map(*[F.lit(v) for kv in synonyms.items() for v in kv])
-    return F.coalesce(table[name], name)
+def source_resolved(bibtex: Column) -> Column:
+    return F.coalesce((F.upper(F.trim(bibtex)) == "SELF") | (F.regexp_extract(bibtex, BIBTEX_KEY, 1) != ""), F.lit(False))
+
+
+def family(x: Column, synonyms: dict[str, str] = FAMILY_SYNONYMS) -> Column:
+    """Upper case with single blanks, synonyms replaced; UNSPECIFIED where nothing is left."""
+    name = F.upper(F.regexp_replace(F.trim(F.coalesce(x.cast("string"), F.lit("None"))), r"\s+", " "))
+    return F.when(name == "", "UNSPECIFIED").otherwise(translated(name, synonyms))
 
 
 def normal_name(x: Column) -> Column:
@@ -63,12 +73,15 @@ def normal_name(x: Column) -> Column:
 
 
 def first_number(x: Column) -> Column:
-    found = F.regexp_extract(x.cast("string"), r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", 0)
-    return F.when(found != "", found).try_cast("double")
+    """The whole cell if it is a number (null if that isn't finite), else the first number within it."""
+    text = F.trim(x.cast("string"))
+    inside = F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double")
+    whole = F.when(F.abs(text.try_cast("double")) < float("inf"), text.try_cast("double"))
+    return F.when(text.rlike(_WHOLE), whole).when(~F.lower(text).isin("nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"), inside)
 
 
 def is_metal(x: Column) -> Column:
-    return F.lower(F.trim(x.cast("string"))).isin(*METAL_WORDS).cast("double")
+    return F.coalesce(F.lower(F.trim(x.cast("string"))).isin(*METAL_CATEGORIES), F.lit(False)).cast("double")
 
 
 def finite_or_null(x: Column) -> Column:
@@ -108,40 +121,54 @@ def translated(x: Column, table: dict[str, str]) -> Column:
 
 
 def group_key(formula: Column, species: Column) -> Column:
-    return F.concat_ws("|", reduced_formula(formula), species)
+    """Reduced formula and migrating species; null where the formula can't be reduced."""
+    return F.concat(reduced_formula(formula), F.lit("|"), species)
 
 
 def unordered_pair(x: Column, y: Column) -> Column:
     return F.concat_ws("|", F.least(x, y), F.greatest(x, y))
 
 
-_TOKEN = re.compile(r"([A-Z][a-z]?)(\d*\.?\d*)")
-
-
-def reduce_formula(formula: str | None) -> str | None:
-    """A formula over the greatest divisor of its amounts; elements keep their order, amounts may be fractional."""
-    if formula is None:
+def reduce_formula(formula: str) -> str:
+    """A formula over the greatest divisor of its amounts.
+
+    Tokens stay as they stand, so a symbol may come twice; amounts may be decimal; blanks don't count.  What is
+    not a row of symbols and amounts raises ValueError, as do amounts that are all zero.
+    """
+    plain = formula.replace(" ", "")
+    if not re.fullmatch(f"(?:{FORMULA_TOKEN})+", plain):
+        raise ValueError(f"not a formula: {formula!r}")
+    parts = [(symbol, Fraction(n or 1)) for symbol, n in re.findall(FORMULA_TOKEN, plain)]
+    scale = math.lcm(*(n.denominator for _, n in parts))
+    unit = math.gcd(*(int(n * scale) for _, n in parts))
+    if not unit:
+        raise ValueError(f"no amounts: {formula!r}")
+    amounts = [int(n * scale) // unit for _, n in parts]
+    return "".join(symbol if n == 1 else f"{symbol}{n}" for (symbol, _), n in zip(parts, amounts, strict=True))
+
+
+def _reduced_or_none(formula: str | None) -> str | None:
+    try:
+        return None if formula is None else reduce_formula(formula)
+    except ValueError:
         return None
-    amounts: dict[str, Fraction] = {}
-    for symbol, n in _TOKEN.findall(formula):
-        amounts[symbol] = amounts.get(symbol, Fraction(0)) + (Fraction(n) if n and n != "." else Fraction(1))
-    amounts = {k: v for k, v in amounts.items() if v}
-    if not amounts:
-        return formula
-    scale = math.lcm(*(v.denominator for v in amounts.values()))
-    whole = {k: int(v * scale) for k, v in amounts.items()}
-    divisor = math.gcd(*whole.values())
-    return "".join(k + (str(n // divisor) if n != divisor else "") for k, n in whole.items())
 
 
 @F.pandas_udf(StringType())
 def reduced_formula(x: pd.Series) -> pd.Series:
-    return x.map(reduce_formula)
+    """``reduce_formula`` of a column; null where it raises."""
+    return x.map(_reduced_or_none)
 
 
 def canonical(value) -> str:
     """JSON with sorted keys and no blanks; equal values have equal texts."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+@F.pandas_udf(StringType())
+def float_text(x: pd.Series) -> pd.Series:
+    """Shortest text that gives the number back, empty for none."""
+    return x.map(lambda v: "" if v is None or v != v else repr(float(v)))
 
 
 @F.pandas_udf(StringType())

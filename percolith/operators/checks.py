@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..schemas import MIN_LATTICE_DET
+from ..schemas import ACTIVE_EPS, MIN_LATTICE_DET
 
 
 class CheckError(ValueError):
@@ -82,6 +82,15 @@ def bad_structures(df: DataFrame, column: str = "structure") -> DataFrame:
     return df.where(~sound)
 
 
+def sound_structure(s: Column) -> Column:
+    """Whether every atom has a name and a place, and places and lattice are finite numbers."""
+    m = s["lattice_mat"]
+    lattice = (F.size(m) == 3) & F.forall(m, lambda r: (F.size(r) == 3) & F.forall(r, finite))
+    names = (F.size(s["elements"]) > 0) & F.forall(s["elements"], lambda e: F.coalesce(F.trim(e) != "", F.lit(False)))
+    places = (F.size(s["elements"]) == F.size(s["coords"])) & F.forall(s["coords"], lambda r: (F.size(r) == 3) & F.forall(r, finite))
+    return F.coalesce(lattice & names & places, F.lit(False))
+
+
 def interval_violations(df: DataFrame) -> DataFrame:
     """Rows where lower90 <= lower80 <= point <= upper80 <= upper90 doesn't hold."""
     names = ["lower90", "lower80", "point", "upper80", "upper90"]
@@ -95,7 +104,7 @@ def outside_interval(df: DataFrame, value: str, lower: str, upper: str) -> DataF
     return df.where(~F.coalesce(F.col(value).between(F.col(lower), F.col(upper)), F.lit(False)))
 
 
-def not_converged(readouts: DataFrame, eps: float = 1e-12) -> DataFrame:
+def not_converged(readouts: DataFrame, eps: float = ACTIVE_EPS) -> DataFrame:
     """Readouts whose radius-1, radius-2 and exact thresholds differ on some axis; two nulls agree."""
     def same(x: str, y: str) -> Column:
         a, b = F.col(x), F.col(y)
@@ -107,14 +116,16 @@ def not_converged(readouts: DataFrame, eps: float = 1e-12) -> DataFrame:
     return readouts.where(~ok)
 
 
-def leaking_names(columns: Iterable[str], substrings: Iterable[str] = (), tokens: Iterable[str] = (), allowed: Iterable[str] | None = None) -> list[str]:
-    """Feature names that hold a forbidden part, have a forbidden word, or aren't on the list of allowed ones."""
-    out = []
-    for name in columns:
-        plain = re.sub("[^a-z0-9]+", "_", name.lower()).strip("_")
-        if any(s in plain for s in substrings) or set(tokens) & set(plain.split("_")) or (allowed is not None and name not in set(allowed)):
-            out.append(name)
-    return out
+def plain_name(name: str) -> str:
+    return re.sub("[^a-z0-9]+", "_", name.casefold()).strip("_")
+
+
+def leaking_names(columns: Iterable[str], patterns: Iterable[str] = (), names: Iterable[str] = (), allowed: Iterable[str] | None = None) -> list[str]:
+    """Feature names that hold a forbidden pattern anywhere, hold a forbidden name as whole words (one or several),
+    or aren't on the list of allowed ones.  All are compared in plain form."""
+    parts, whole = [plain_name(p) for p in patterns], [f"_{plain_name(n)}_" for n in names]
+    listed = None if allowed is None else set(allowed)
+    return sorted({c for c in columns if any(p in plain_name(c) for p in parts) or any(n in f"_{plain_name(c)}_" for n in whole) or (listed is not None and c not in listed)})
 
 
 def require_no_leakage(columns: Iterable[str], **rules) -> None:

@@ -149,7 +149,7 @@ class Domain:
     def score(self, df: DataFrame) -> DataFrame:
         """(key, distance, percentile, warning_95, warning_99)."""
         d = stats.weighted_percentile(self.reference, "distance", "weight", self._distances(self.embed(df)), "distance")
-        return d.withColumns({"warning_95": F.col("distance") > self.limits[0.95], "warning_99": F.col("distance") > self.limits[0.99]})
+        return d.withColumns({f"warning_{round(100 * p)}": F.col("percentile") >= p for p in self.limits})
 
     def score_graphs(self, scored: DataFrame, graph: str) -> DataFrame:
         """A graph's greatest distance, and the share of training groups whose own greatest is no greater."""

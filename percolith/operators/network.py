@@ -8,14 +8,16 @@ filters and unions around them stay in Catalyst.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ACTIVE_EPS, AXES, READOUT
+from ..shared import stored
 from . import kernel
+from .checks import require_none
 
 
 def active_edges(edges: DataFrame, threshold: float | Column, excluded: DataFrame | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def _graphs(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return lists, packed
 
 
-def _read(rows: Iterable[pd.DataFrame], with_critical: bool):
+def _read(rows: Iterable[pd.DataFrame], with_critical: bool, figures: Sequence[str]):
     for table in rows:
         out = []
         for row in table.itertuples(index=False):
@@ -77,7 +79,7 @@ def _read(rows: Iterable[pd.DataFrame], with_critical: bool):
                 (e["edge_uid"], number[e["node_i"]], number[e["node_j"]], (e["a"], e["b"], e["c"]), None if e["barrier"] is None or e["barrier"] != e["barrier"] else e["barrier"])
                 for e in (row.edges if row.edges is not None else ())
             ]
-            out.append({"graph_id": row.graph_id, "scenario": row.scenario, "removed_uid": row.removed_uid} | kernel.readout(len(number), edges, with_critical))
+            out.append({"graph_id": row.graph_id, "scenario": row.scenario, "removed_uid": row.removed_uid} | kernel.readout(len(number), edges, with_critical, figures))
         frame = pd.DataFrame(out, columns=[f.name for f in READOUT.fields])
         for f in READOUT.fields:
             kind = f.dataType.simpleString()
@@ -85,11 +87,13 @@ def _read(rows: Iterable[pd.DataFrame], with_critical: bool):
                 frame[f.name] = frame[f.name].astype("Int64")
             elif kind == "double":
                 frame[f.name] = frame[f.name].astype("Float64") if len(frame) else frame[f.name].astype(float)
+            else:  # figures that weren't asked for are null
+                frame[f.name] = pd.Series([x.get(f.name) for x in out], dtype=object)
         yield frame
 
 
-def readout(nodes: DataFrame, edges: DataFrame, with_critical: bool = True) -> DataFrame:
-    """The full readout of every graph; edges may carry ``scenario`` and ``removed_uid``.
+def readout(nodes: DataFrame, edges: DataFrame, with_critical: bool = True, figures: Sequence[str] = kernel.FIGURES) -> DataFrame:
+    """The readout of every graph, or those ``figures`` of it; edges may carry ``scenario`` and ``removed_uid``.
 
     Graphs without edges are read out too.  Rows are whole graphs, so they are dealt evenly and
     streamed through ``mapInPandas``.
@@ -101,7 +105,7 @@ def readout(nodes: DataFrame, edges: DataFrame, with_critical: bool = True) -> D
     scenarios = packed.select("graph_id", "scenario", "removed_uid", "edges")
     rows = lists.join(scenarios, "graph_id", "left").withColumn("scenario", F.coalesce("scenario", F.lit("point")))
     rows = rows.select("graph_id", "scenario", "removed_uid", "nodes", "edges")
-    return rows.mapInPandas(lambda t: _read(t, with_critical), READOUT)
+    return rows.mapInPandas(lambda t: _read(t, with_critical, figures), READOUT)
 
 
 def critical_edges(readouts: DataFrame) -> DataFrame:
@@ -132,20 +136,27 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 SCENARIOS = ("point", "lower80", "upper80", "lower90", "upper90")
 
 
-def interval_readouts(nodes: DataFrame, edges: DataFrame, columns: dict[str, str], with_critical: bool = False) -> DataFrame:
+def interval_readouts(nodes: DataFrame, edges: DataFrame, columns: dict[str, str], with_critical: bool = False, figures: Sequence[str] = kernel.FIGURES) -> DataFrame:
     """One readout a graph and scenario; ``columns`` maps each scenario to its barrier column."""
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.col(c).cast("double").alias("barrier")) for s, c in columns.items()])).alias("x")
     keep = ["graph_id", "edge_uid", "node_i", "node_j", *AXES]
-    return readout(nodes, edges.select(*keep, each).select(*keep, "x.*"), with_critical)
+    return readout(nodes, edges.select(*keep, each).select(*keep, "x.*"), with_critical, figures)
 
 
-def edge_removal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def edge_removal(nodes: DataFrame, edges: DataFrame, base: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """Effect of leaving each edge out: change of every threshold, lost directions, lost rank.
 
     Only critical edges are recomputed, each as a graph of its own, all in parallel; the others cannot
-    change anything and are reported as screened.
+    change anything and are reported as screened.  ``base`` is the edges' readout, if there is one.
+
+    A figure counts only if its readout converged.  ``strict`` raises where that of a graph, or of one without an
+    edge, doesn't; otherwise its changes and losses are null and ``removed_status`` says why.  It also raises
+    where leaving an edge out would lower a threshold or raise the rank.
     """
-    base = readout(nodes, edges)
+    if base is None:
+        base = stored(readout(nodes, edges))
+    if strict:
+        require_none(base.where("status <> 'PASSED' or not converged").select("graph_id", "scenario", "status"), "baselines that did not converge")
     critical = critical_edges(base).select("graph_id", F.col("edge_uid").alias("removed_uid"), "directions", "rank_critical")
     left = edges.join(critical.select("graph_id", "removed_uid"), "graph_id").where("edge_uid <> removed_uid")
     alone = critical.join(base.where("n_edges = 1").select("graph_id"), "graph_id", "left_semi").select("graph_id", "removed_uid")
@@ -154,28 +165,36 @@ def edge_removal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     empty = alone.select("graph_id", "removed_uid", F.lit("PASSED").alias("status"), F.lit(True).alias("converged"), F.lit(0).alias("winding_rank"), *[F.lit(None).cast("double").alias(f"eperc_{x}") for x in AXES])
     removed = again.select("graph_id", "removed_uid", *parts).unionByName(empty)
     removed = removed.select("graph_id", F.col("removed_uid").alias("edge_uid"), *[F.col(p).alias(f"removed_{p}") for p in parts])
+    if strict:
+        removed = stored(removed)
+        require_none(removed.where("not removed_converged").select("graph_id", "edge_uid", "removed_status"), "removals that did not converge")
     marks = critical.select("graph_id", F.col("removed_uid").alias("edge_uid"), "directions", "rank_critical", F.lit(True).alias("hit"))
     before = base.select("graph_id", *[F.col(p).alias(f"baseline_{p}") for p in parts])
     rows = edges.select("graph_id", "edge_uid").join(before, "graph_id").join(marks, ["graph_id", "edge_uid"], "left").join(removed, ["graph_id", "edge_uid"], "left")
     hit = F.coalesce("hit", F.lit(False))
+    sure = F.col("baseline_converged") & (~hit | F.col("removed_converged"))
     out = [
         "graph_id", "edge_uid",
         F.when(hit, "CRITICAL_EXACTLY_RECOMPUTED").otherwise("NONCRITICAL_ZERO_SCREENED").alias("screen_status"),
         F.coalesce("directions", F.array().cast("array<string>")).alias("critical_directions"),
         F.coalesce("rank_critical", F.lit(False)).alias("rank_critical"),
+        F.when(hit, F.col("removed_status")).otherwise(F.col("baseline_status")).alias("removed_status"),
         "baseline_winding_rank",
         F.when(hit, F.col("removed_winding_rank")).otherwise(F.col("baseline_winding_rank")).alias("removed_winding_rank"),
     ]
     for x in AXES:
         old, new = F.col(f"baseline_eperc_{x}"), F.when(hit, F.col(f"removed_eperc_{x}")).otherwise(F.col(f"baseline_eperc_{x}"))
-        out += [old.alias(f"baseline_eperc_{x}"), new.alias(f"removed_eperc_{x}"), F.when(old.isNotNull() & new.isNotNull(), F.greatest(F.lit(0.0), new - old)).alias(f"delta_eperc_{x}"), (old.isNotNull() & new.isNull()).alias(f"lost_{x}")]
-    return rows.select(*out).withColumn("rank_loss", F.col("baseline_winding_rank") - F.col("removed_winding_rank"))
+        out += [old.alias(f"baseline_eperc_{x}"), new.alias(f"removed_eperc_{x}"), F.when(sure & old.isNotNull() & new.isNotNull(), F.greatest(F.lit(0.0), new - old)).alias(f"delta_eperc_{x}"), F.when(sure, old.isNotNull() & new.isNull()).alias(f"lost_{x}")]
+    found = rows.select(*out).withColumn("rank_loss", F.col("baseline_winding_rank") - F.col("removed_winding_rank"))
+    if strict:
+        found = stored(found)
+        worse = [F.coalesce((F.col(f"removed_eperc_{x}") < F.col(f"baseline_eperc_{x}") - ACTIVE_EPS) | (F.col(f"baseline_eperc_{x}").isNull() & F.col(f"removed_eperc_{x}").isNotNull()), F.lit(False)) for x in AXES]
+        require_none(found.where(worse[0] | worse[1] | worse[2] | (F.col("rank_loss") < 0)).select("graph_id", "edge_uid"), "removals that lower a threshold or raise the rank")
+    return found
 
 
 def converged_only(readouts: DataFrame) -> DataFrame:
     """Readouts that may be published; raises if any isn't (see ``checks``)."""
-    from .checks import require_none
-
     require_none(readouts.where("not converged").select("graph_id", "scenario", "status"), "readouts that did not converge")
     return readouts
 
@@ -199,11 +218,16 @@ def largest_fraction(nodes: DataFrame, edges: DataFrame, thresholds: list[float]
     return lists.join(packed, "graph_id", "left").select("graph_id", "nodes", "edges").mapInPandas(run, "graph_id string, threshold double, fraction double")
 
 
-def removal_response(nodes: DataFrame, edges: DataFrame, fractions: list[float], repeats: int = 80, seed: int = 7) -> DataFrame:
+def removal_response(nodes: DataFrame, edges: DataFrame, fractions: list[float], score: str | None = None, repeats: int = 80, seed: int = 12) -> DataFrame:
     """(graph_id, strategy, fraction, repeat, largest): largest component after removing that share of edges.
 
-    ``ranked`` removes edges by falling endpoint degree, then uid; ``random`` in orders seeded by hash.
+    ``ranked`` removes edges by falling ``score`` (a column of the edges; their ends' degree if there is none), then
+    uid; ``random`` in orders seeded by hash, ``repeats`` of them.
     """
+    edges = edges.select("graph_id", "edge_uid", "node_i", "node_j", *AXES, "barrier", (F.col(score).cast("double") if score else F.lit(None).cast("double")).alias("score"))
+    lists = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_set("node_id")).alias("nodes"))
+    packed = edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_uid", "node_i", "node_j", "score"))).alias("edges"))
+
     def run(rows: Iterable[pd.DataFrame]):
         import hashlib
 
@@ -211,21 +235,46 @@ def removal_response(nodes: DataFrame, edges: DataFrame, fractions: list[float],
             out = []
             for row in table.itertuples(index=False):
                 number = {x: k for k, x in enumerate(row.nodes)}
-                edges_ = list(row.edges) if row.edges is not None else []
-                degree: dict[str, int] = {}
-                for e in edges_:
-                    for end in (e["node_i"], e["node_j"]):
+                edges_ = [(e["edge_uid"], number[e["node_i"]], number[e["node_j"]], e["score"]) for e in (row.edges if row.edges is not None else ())]
+                degree: dict[int, int] = {}
+                for _, i, j, _ in edges_:
+                    for end in (i, j):  # a loop has both its ends at a node
                         degree[end] = degree.get(end, 0) + 1
-                orders = [("ranked", 0, sorted(edges_, key=lambda e: (-degree[e["node_i"]] - degree[e["node_j"]], e["edge_uid"])))]
+                value = (lambda e: -e[3] if e[3] is not None else 0.0) if score else (lambda e: -degree[e[1]] - degree[e[2]])
+                orders = [("ranked", 0, sorted(edges_, key=lambda e: (value(e), e[0])))]
                 for k in range(repeats):
-                    orders.append(("random", k, sorted(edges_, key=lambda e, k=k: hashlib.sha256(f"{seed}|{row.graph_id}|{k}|{e['edge_uid']}".encode()).digest())))
+                    orders.append(("random", k, sorted(edges_, key=lambda e, k=k: hashlib.sha256(f"{seed}|{row.graph_id}|{k}|{e[0]}".encode()).digest())))
                 for strategy, k, order in orders:
                     for f in fractions:
                         parts = kernel.Components(len(number))
-                        for e in order[int(round(f * len(order))) :]:
-                            parts.add(number[e["node_i"]], number[e["node_j"]], (0, 0, 0))
+                        for _, i, j, _ in order[int(round(f * len(order))) :]:
+                            parts.add(i, j, (0, 0, 0))
                         out.append((row.graph_id, strategy, float(f), k, max((parts.size[r] for r in parts.roots()), default=0) / max(1, len(number))))
             yield pd.DataFrame(out, columns=["graph_id", "strategy", "fraction", "repeat", "largest"])
 
-    lists, packed = _graphs(nodes, edges, ["graph_id"])
     return lists.join(packed, "graph_id", "left").select("graph_id", "nodes", "edges").mapInPandas(run, "graph_id string, strategy string, fraction double, repeat int, largest double")
+
+
+def mean_response(response: DataFrame) -> DataFrame:
+    """(graph_id, strategy, fraction, largest): the mean over the orders."""
+    return response.groupBy("graph_id", "strategy", "fraction").agg(F.avg("largest").alias("largest"))
+
+
+def first_threshold(fractions: DataFrame, share: float = 0.5) -> DataFrame:
+    """(graph_id, threshold): the least threshold at which the largest component holds that share of the nodes, null if none does."""
+    return fractions.groupBy("graph_id").agg(F.min(F.when(F.col("fraction") >= share, F.col("threshold"))).alias("threshold"))
+
+
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, edge_uid) of edges, not loops, whose ends are apart without them, shifts ignored."""
+    def run(rows: Iterable[pd.DataFrame]):
+        for table in rows:
+            out = []
+            for row in table.itertuples(index=False):
+                number = {x: k for k, x in enumerate(row.nodes)}
+                edges_ = [(e["edge_uid"], number[e["node_i"]], number[e["node_j"]], (0, 0, 0), None) for e in (row.edges if row.edges is not None else ())]
+                out += [(row.graph_id, e[0]) for e in edges_ if kernel.is_bridge(len(number), edges_, e[0])]
+            yield pd.DataFrame(out, columns=["graph_id", "edge_uid"])
+
+    lists, packed = _graphs(nodes, edges, ["graph_id"])
+    return lists.join(packed, "graph_id", "left").select("graph_id", "nodes", "edges").mapInPandas(run, "graph_id string, edge_uid string")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..schemas import AXES
 from . import stats
 
@@ -250,20 +254,35 @@ def top_n(df: DataFrame, column: str, n: int, key: str, largest: bool = True) ->
     return df.orderBy(F.desc(column) if largest else F.asc(column), key).limit(n)
 
 
+def top_per_group(df: DataFrame, by: Sequence[str], column: str, n: int, key: str, largest: bool = True) -> DataFrame:
+    """The ``n`` rows of each group with the greatest (or least) value, ties to the lesser key; groups are cut before they are shuffled."""
+    order = Window.partitionBy(*by).orderBy(F.desc(column) if largest else F.asc(column), key)
+    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A repeatable sample of at most n rows, in the order of a seeded hash."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def hash_split(df: DataFrame, group: str, seed: int, calibration: float, test: float) -> DataFrame:
-    """(group, part) with whole groups in train, calibration or test, in the order of their seeded sha256."""
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")), 256)
-    groups = df.select(group).distinct().withColumn("h", digest)
+def hash_split(df: DataFrame, group: str, calibration: float = 0.2, seed: int = 20260807, context: str = "", levels: Sequence[float] = (0.8, 0.9)) -> DataFrame:
+    """(group, part) with the outer training groups of ``df`` in calibration or proper_train, never looking at a target.
+
+    Groups go in the order of the sha256 of the canonical JSON of seed, context, column and group.  The share is
+    rounded up, and raised to the least number of groups that the levels need; what leaves no group to train on is refused.
+    """
+    if not 0.0 < calibration < 1.0:
+        raise ValueError("the calibration share must lie between 0 and 1")
+    text = F.col(group).cast("string")
+    payload = F.to_json(F.struct(F.lit(seed).alias("base_seed"), F.lit(context).alias("context"), text.alias("group"), F.lit(group).alias("group_column")))
+    groups = df.select(group).distinct().withColumn("h", T.json_sha256(payload))
     n = groups.count()
-    tests, calibrations = max(1, round(n * test)), max(1, round(n * calibration))
-    place = F.row_number().over(Window.orderBy("h", group))
-    part = F.when(F.col("place") <= tests, "test").when(F.col("place") <= tests + calibrations, "calibration").otherwise("train")
-    return groups.withColumn("place", place).select(group, part.alias("part"))
+    least = max([stats.min_calibration_groups(x) for x in levels], default=1)
+    count = max(math.ceil(calibration * n), least)
+    if n < 2 or count >= n:
+        raise ValueError(f"{n} groups leave none to train on beside {count} for calibration")
+    first = groups.orderBy("h", text).limit(count).select(group, F.lit("calibration").alias("part"))
+    return groups.select(group).join(first, group, "left").select(group, F.coalesce("part", F.lit("proper_train")).alias("part"))
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
@@ -285,9 +304,17 @@ def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """(group, fold) with one fold a group, numbered in order; groups are few."""
-    groups = df.select(group).distinct()
-    return groups.withColumn("fold", (F.row_number().over(Window.orderBy(group)) - 1).cast("int"))
+    """(group, fold) with one fold a group, numbered in order; groups, each of which is a model to train, are few."""
+    names = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
+    if len(names) < 2:
+        raise ValueError("leaving one group out takes two")
+    return df.sparkSession.createDataFrame([(g, k) for k, g in enumerate(names)], f"{group} {dict(df.dtypes)[group]}, fold int")
+
+
+def scoped_leave_one_group_out(df: DataFrame, group: str, scope: str) -> DataFrame:
+    """(group, fold) of the groups that have a row in scope; a fold's test rows are its group's in scope, and its
+    training rows those of all other groups, in scope or not."""
+    return leave_one_group_out(df.where(F.col(scope).cast("int") == 1), group)
 
 
 def split_violations(assigned: DataFrame, key: str, group: str, part: str) -> DataFrame:
@@ -297,12 +324,20 @@ def split_violations(assigned: DataFrame, key: str, group: str, part: str) -> Da
     return keys.unionByName(groups)
 
 
-def split_hash(assigned: DataFrame, key: str, part: str) -> str:
-    """One digest of a split, whatever the order of its rows: per-part digests of sorted hash ranges."""
-    row = assigned.select(F.xxhash64(F.col(key).cast("string"), F.col(part).cast("string")).alias("h")).agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x"), F.count("*").alias("n")).first()
-    import hashlib
+def split_hash(assigned: DataFrame, key: str, part: str, train: str = "train", test: str = "test") -> str:
+    """sha256 of the canonical JSON of a split's sorted training and test record ids.
 
-    return hashlib.sha256(f"{row.s}|{row.x}|{row.n}".encode()).hexdigest()
+    The ids are sorted by Spark and streamed to the driver, which holds one partition of them at a time.
+    """
+    digest = hashlib.sha256()
+    for k, (name, value) in enumerate((("test_record_ids", test), ("train_record_ids", train))):
+        digest.update(f'{"{" if not k else ","}"{name}":['.encode())
+        ids = assigned.where(F.col(part) == value).select(F.col(key).cast("string").alias("k")).orderBy("k")
+        for i, row in enumerate(ids.toLocalIterator()):
+            digest.update(("," if i else "").encode() + json.dumps(row.k, ensure_ascii=False).encode())
+        digest.update(b"]")
+    digest.update(b"}")
+    return digest.hexdigest()
 
 
 def group_distances(train: DataFrame, queries: DataFrame, group: str, features: Sequence[str], key: str, block: int = 2048) -> DataFrame:
@@ -343,9 +378,10 @@ def group_distances(train: DataFrame, queries: DataFrame, group: str, features:
 
 
 def kth_group_distance(distances: DataFrame, key: str, group: str, k: int) -> DataFrame:
-    """(key, distance) to the k-th nearest group, or the farthest where there are fewer."""
+    """(key, distance) to the k-th nearest group; a row with fewer than k other groups fails the query."""
     near = distances.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("distance", group))).alias("d"))
-    return near.select(key, F.element_at("d", F.least(F.lit(k), F.size("d"))).getField("distance").alias("distance"))
+    few = F.raise_error(F.concat(F.lit(f"fewer than {k} other groups for "), F.col(key).cast("string"))).cast("double")
+    return near.select(key, F.when(F.size("d") < k, few).otherwise(F.get("d", F.lit(k - 1)).getField("distance")).alias("distance"))
 
 
 def select_groups(groups: DataFrame, species: str, size: str, first: str, key: str, n: int) -> DataFrame:

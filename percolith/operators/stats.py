@@ -267,6 +267,11 @@ def coverage(df: DataFrame, group: str, truth: str) -> DataFrame:
     return rows.join(groups, "level")
 
 
+def group_summary(df: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
+    """(by, median, mean, n, distinct): of a value, and how many different ``count`` a group has."""
+    return df.groupBy(*by).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.count("*").alias("n"), F.countDistinct(count).alias("distinct"))
+
+
 def spread(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean and population deviation of an ensemble's predictions for each key."""
     return df.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("spread"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import checks, network, selection, stats
+from ..operators import candidates, checks, network, selection, stats
 from .tables import NETWORK_SQL, edges, nodes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,23 +90,27 @@ def _percolation_sql(radius: int) -> str:
   min(t) filter (n = s and a = 0 and b = 0 and abs(c) = 1) eperc_c from (select distinct gid from n) g left join r using (gid) group by g.gid""")
 
 
-def _readout(spark, sf, critical=False):
-    return network.readout(nodes(spark, sf), edges(spark, sf), critical)
+def _readout(spark, sf, *figures):
+    return network.readout(nodes(spark, sf), edges(spark, sf), True, figures)
 
 
 @query(_percolation_sql(1))
 def graph_percolation_r1(spark, sf):
-    return _readout(spark, sf).select("graph_id", *[F.col(f"eperc_{x}_r1").alias(f"eperc_{x}") for x in "abc"])
+    return _readout(spark, sf, "r1").select("graph_id", *[F.col(f"eperc_{x}_r1").alias(f"eperc_{x}") for x in "abc"])
 
 
-@query()
+@query(_percolation_sql(2))
 def graph_percolation_r2(spark, sf):
-    return _readout(spark, sf).select("graph_id", *[F.col(f"eperc_{x}_r2").alias(f"eperc_{x}") for x in "abc"])
+    return _readout(spark, sf, "r2").select("graph_id", *[F.col(f"eperc_{x}_r2").alias(f"eperc_{x}") for x in "abc"])
 
 
-@query()
+_AGREE = " and ".join(f"(p.eperc_{x} is not distinct from q.eperc_{x})" for x in "abc")
+
+
+@query(f"with p as ({_percolation_sql(1)}), q as ({_percolation_sql(2)}) select graph_id, if({_AGREE}, 'PASSED', 'SUPERCELL_NOT_CONVERGED') status, {_AGREE} converged, " + ", ".join(f"q.eperc_{x} eperc_{x}_exact, if(p.eperc_{x} is not distinct from q.eperc_{x}, q.eperc_{x}, null) eperc_{x}" for x in "abc") + " from p join q using (graph_id)")
 def graph_percolation_exact(spark, sf):
-    return _readout(spark, sf).select("graph_id", "status", "converged", *[f"eperc_{x}_exact" for x in "abc"], *[f"eperc_{x}" for x in "abc"])
+    """The SQL takes the wider cube for the exact thresholds, which holds for these networks."""
+    return _readout(spark, sf, "r1", "r2", "exact").select("graph_id", "status", "converged", *[f"eperc_{x}_exact" for x in "abc"], *[f"eperc_{x}" for x in "abc"])
 
 
 @query(_with(""", q(gid, s, n) as (select gid, node, node from n union select q.gid, q.s, d.nj from q join d on d.gid = q.gid and d.ni = q.n)
@@ -130,7 +134,7 @@ _RANKS = """, r(gid, s, n, a, b, c) as (
 
 @query(_with(_RANKS))
 def graph_winding_rank(spark, sf):
-    return _readout(spark, sf).select("graph_id", "winding_rank")
+    return _readout(spark, sf, "topology").select("graph_id", "winding_rank")
 
 
 @query(_with(f""", k as ({_with(_RANKS)}), q(gid, s, n) as (select gid, node, node from n union select q.gid, q.s, d.nj from q join d on d.gid = q.gid and d.ni = q.n),
@@ -138,18 +142,50 @@ def graph_winding_rank(spark, sf):
  select graph_id, if(winding_rank = 0, 0, greatest(0, (select count(*) from e where e.gid = graph_id) - v + c - winding_rank)) redundancy, c n_components, winding_rank union_rank
  from k join m on gid = graph_id"""))
 def graph_redundancy(spark, sf):
-    return _readout(spark, sf).select("graph_id", "redundancy", "n_components", "union_rank")
+    return _readout(spark, sf, "topology").select("graph_id", "redundancy", "n_components", "union_rank")
 
 
-@query()
+# A walk without one edge at a time: whether each axis still percolates at its threshold.
+_UID = "ni || '_' || nj || '_' || a || '_' || b || '_' || c"
+_CRITICAL = f"""th as ({_percolation_sql(1)}), ax as (select graph_id gid, x, t from th, lateral (values ('a', eperc_a), ('b', eperc_b), ('c', eperc_c)) v(x, t) where t is not null),
+ en as (select *, {_UID} uid from e), act as (select gid, x, uid, ni, nj, a, b, c from ax join en using (gid) where bar <= t + 1e-12),
+ two as (select * from act union all select gid, x, uid, nj, ni, -a, -b, -c from act),
+ walk(gid, x, cut, s, n, a, b, c) as (
+  select act.gid, x, uid, node, node, 0, 0, 0 from act join n using (gid)
+  union
+  select walk.gid, walk.x, walk.cut, walk.s, d.nj, walk.a + d.a, walk.b + d.b, walk.c + d.c from walk join two d on d.gid = walk.gid and d.x = walk.x and d.ni = walk.n and d.uid <> walk.cut
+  where abs(walk.a + d.a) <= 2 and abs(walk.b + d.b) <= 2 and abs(walk.c + d.c) <= 2),
+ kept as (select distinct gid, x, cut from walk where n = s and ((x = 'a' and abs(a) = 1 and b = 0 and c = 0) or (x = 'b' and a = 0 and abs(b) = 1 and c = 0) or (x = 'c' and a = 0 and b = 0 and abs(c) = 1))),
+ crit as (select gid, uid, string_agg(x, ',' order by x) directions from act where (gid, x, uid) not in (select gid, x, cut from kept) group by 1, 2)"""
+
+
+@query(_with(f", {_CRITICAL} select gid graph_id, uid edge_uid, directions, false rank_critical from crit"))
 def graph_critical_edges(spark, sf):
-    return network.critical_edges(_readout(spark, sf, True)).select("graph_id", "edge_uid", F.array_join("directions", ",").alias("directions"), "rank_critical")
+    """The SQL walks in the wider cube; these networks have so many edges that none is critical to the rank."""
+    return network.critical_edges(_readout(spark, sf, "critical")).select("graph_id", "edge_uid", F.array_join("directions", ",").alias("directions"), "rank_critical")
 
 
-@query()
+def _removed(r: int) -> str:
+    """The thresholds that are left without a critical edge, over barriers that reach them, in the cube of that radius."""
+    return f""" z{r}(gid, cut, t, s, n, a, b, c) as (
+  select gid, uid, t, node, node, 0, 0, 0 from crit join lim using (gid) join n using (gid)
+  union
+  select z{r}.gid, z{r}.cut, z{r}.t, z{r}.s, x.nj, z{r}.a + x.a, z{r}.b + x.b, z{r}.c + x.c from z{r} join dd x on x.gid = z{r}.gid and x.ni = z{r}.n and x.bar <= z{r}.t + 1e-12 and x.uid <> z{r}.cut
+  where abs(z{r}.a + x.a) <= {r} and abs(z{r}.b + x.b) <= {r} and abs(z{r}.c + x.c) <= {r}),
+ g{r} as (select gid, cut uid, min(t) filter (n = s and abs(a) = 1 and b = 0 and c = 0) ra, min(t) filter (n = s and a = 0 and abs(b) = 1 and c = 0) rb, min(t) filter (n = s and a = 0 and b = 0 and abs(c) = 1) rc from z{r} group by 1, 2)"""
+
+
+_REMOVED = f""" lim as (select gid, bar t from (select distinct gid, bar from e) join (select graph_id gid, greatest(eperc_a, eperc_b, eperc_c) m from th) using (gid) where bar <= m + 0.1),
+ dd as (select gid, uid, bar, ni, nj, a, b, c from en union all select gid, uid, bar, nj, ni, -a, -b, -c from en),{_removed(1)},{_removed(2)},
+ gone as (select gid, uid, g2.ra, g2.rb, g2.rc, g1.ra is not distinct from g2.ra and g1.rb is not distinct from g2.rb and g1.rc is not distinct from g2.rc sure from g1 join g2 using (gid, uid))"""
+
+
+@query(_with(f", {_CRITICAL}, {_REMOVED} select en.gid graph_id, en.uid edge_uid, if(crit.uid is null, 'NONCRITICAL_ZERO_SCREENED', 'CRITICAL_EXACTLY_RECOMPUTED') screen_status, coalesce(directions, '') critical_directions, " + ", ".join(f"case when crit.uid is null then 0.0 when sure then round(greatest(0, r{x} - eperc_{x}), 9) end::double delta_eperc_{x}, if(crit.uid is null or sure, r{x} is null and crit.uid is not null, null) lost_{x}" for x in "abc") + ", 0 rank_loss from en join th on th.graph_id = en.gid left join crit on crit.gid = en.gid and crit.uid = en.uid left join gone on gone.gid = en.gid and gone.uid = en.uid"))
 def graph_edge_removal(spark, sf):
-    out = network.edge_removal(nodes(spark, sf), edges(spark, sf))
-    return out.withColumn("critical_directions", F.array_join("critical_directions", ","))
+    """What every edge's removal changes; readouts that don't converge are reported, not raised."""
+    out = network.edge_removal(nodes(spark, sf), edges(spark, sf), strict=False)
+    parts = [c for x in "abc" for c in (_r(f"delta_eperc_{x}", 9).alias(f"delta_eperc_{x}"), F.col(f"lost_{x}"))]
+    return out.select("graph_id", "edge_uid", "screen_status", F.array_join("critical_directions", ",").alias("critical_directions"), *parts, "rank_loss")
 
 
 _FACTORS = {"point": 1.0, "lower80": 0.75, "upper80": 1.25, "lower90": 0.5, "upper90": 1.5}
@@ -158,7 +194,7 @@ _FACTORS = {"point": 1.0, "lower80": 0.75, "upper80": 1.25, "lower90": 0.5, "upp
 @query(_with(f", p as ({_percolation_sql(1)})" + " select graph_id, s scenario, round(eperc_a * k, 6) eperc_a, round(eperc_b * k, 6) eperc_b, round(eperc_c * k, 6) eperc_c from p, (values ('point', 1.0), ('lower80', 0.75), ('upper80', 1.25), ('lower90', 0.5), ('upper90', 1.5)) t(s, k)"))
 def graph_intervals(spark, sf):
     e = edges(spark, sf).withColumns({s: F.col("barrier") * k for s, k in _FACTORS.items()})
-    out = network.interval_readouts(nodes(spark, sf), e, {s: s for s in _FACTORS})
+    out = network.interval_readouts(nodes(spark, sf), e, {s: s for s in _FACTORS}, figures=("r1",))
     return out.select("graph_id", "scenario", *[_r(F.col(f"eperc_{x}_r1")).alias(f"eperc_{x}") for x in "abc"])
 
 
@@ -244,8 +280,7 @@ def overlap_2x2(spark, sf):
 @query("select n_name, c_mktsegment, c_custkey, c_acctbal from (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_acctbal desc, c_custkey) r from customer join nation on c_nationkey = n_nationkey) where r <= 2")
 def top_two_per_group(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return c.withColumn("r", F.row_number().over(w)).where("r <= 2").select("n_name", "c_mktsegment", "c_custkey", "c_acctbal")
+    return selection.top_per_group(c, ["c_nationkey", "c_mktsegment"], "c_acctbal", 2, "c_custkey").select("n_name", "c_mktsegment", "c_custkey", "c_acctbal")
 
 
 @query("select s_suppkey, s_acctbal from supplier order by s_acctbal desc, s_suppkey limit 2")
@@ -321,8 +356,8 @@ def histogram(spark, sf):
 
 @query("select o_orderpriority, round(median(o_totalprice), 6) median, round(avg(o_totalprice), 4) mean, count(*) n, count(distinct o_custkey) customers from orders group by 1")
 def group_summary(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.groupBy("o_orderpriority").agg(_r(F.median("o_totalprice"), 6).alias("median"), _r(F.avg("o_totalprice"), 4).alias("mean"), F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    out = stats.group_summary(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", "o_custkey")
+    return out.select("o_orderpriority", _r("median", 6).alias("median"), _r("mean", 4).alias("mean"), "n", F.col("distinct").alias("customers"))
 
 
 @query("select l_suppkey, round(avg(l_extendedprice), 4) mean, round(stddev_pop(l_extendedprice), 4) spread from lineitem group by 1")
@@ -334,24 +369,30 @@ def ensemble_spread(spark, sf):
 # joins
 
 
-@query("select a.p_partkey p, b.p_partkey q, round(b.p_retailprice - a.p_retailprice, 2) diff from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey and abs(b.p_retailprice - a.p_retailprice) > 0.05 and abs(b.p_retailprice - a.p_retailprice) <= 2.0 + 1e-12")
+# Sites of one cell a label: the first components of the vectors in a box of 4, 5 and 6.
+_SITES = "sites as (select label::varchar g, printf('%05d', vec_id) id, vec_id k, embedding[1]::double - floor(embedding[1]::double) x, embedding[2]::double - floor(embedding[2]::double) y, embedding[3]::double - floor(embedding[3]::double) z from embeddings)"
+_SHIFTS = "cells as (select a, b, c from range(-3, 4) r(a), range(-3, 4) s(b), range(-3, 4) t(c))"
+
+
+def _sites(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("v", V.wrap01(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))))
+    lattice = F.array(*[F.array(*[F.lit(float(d) if i == j else 0.0) for j in range(3)]) for i, d in enumerate((4, 5, 6))])
+    return e.select(F.col("label").cast("string").alias("graph_id"), F.format_string("%05d", "vec_id").alias("node_id"), "vec_id", F.col("v").alias("frac_coords"), lattice.alias("lattice"), F.lit(1.2).alias("cutoff"))
+
+
+@query(f"with {_SITES}, {_SHIFTS}, p as (select i.g, i.id ni, j.id nj, a, b, c, sqrt((4 * (j.x - i.x + a)) ** 2 + (5 * (j.y - i.y + b)) ** 2 + (6 * (j.z - i.z + c)) ** 2) d from sites i join sites j on i.g = j.g and i.id <= j.id, cells where i.id < j.id or a < 0 or (a = 0 and (b < 0 or (b = 0 and c < 0)))) select g graph_id, ni node_i, nj node_j, a::int a, b::int b, c::int c, round(d, 6) hop_distance from p where d > 1e-3 and d <= 1.2 + 1e-12")
 def theta_candidates(spark, sf):
-    """A range join in bands of the cutoff: each row meets its own band and the next, within its brand."""
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", F.floor(F.col("p_retailprice") / 2.5).alias("band"))
-    a = p.select(F.col("p_partkey").alias("p"), "p_brand", F.col("p_retailprice").alias("x"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    b = p.select(F.col("p_partkey").alias("q"), "p_brand", F.col("p_retailprice").alias("y"), "band")
-    d = F.abs(F.col("y") - F.col("x"))
-    return a.join(b, ["p_brand", "band"]).where((F.col("p") < F.col("q")) & (d > 0.05) & (d <= 2.0 + 1e-12)).select("p", "q", F.round(F.col("y") - F.col("x"), 2).alias("diff"))
+    """Periodic pairs of sites within the cutoff."""
+    out = candidates.candidate_edges(_sites(spark, sf))
+    return out.withColumn("hop_distance", _r("hop_distance"))
 
 
-@query("select c_custkey id, (select min_by(s_suppkey, (abs(s_acctbal - c_acctbal), s_suppkey)) from supplier where s_nationkey = c_nationkey and abs(s_acctbal - c_acctbal) <= 500) \"match\" from customer")
-def nearest_match(spark, sf):
-    """Nearest supplier by balance in the customer's nation, in bands of the tolerance."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"), F.floor(F.col("c_acctbal") / 500).alias("band"))
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("s"), F.col("s_acctbal").alias("y"), F.explode(F.array(*[F.floor(F.col("s_acctbal") / 500) + i for i in (-1, 0, 1)])).alias("band"))
-    d = F.abs(F.col("y") - F.col("x"))
-    best = c.join(s, ["k", "band"]).where(d <= 500).groupBy("id").agg(F.min(F.struct(d.alias("d"), "s")).alias("b"))
-    return c.join(best, "id", "left").select("id", F.col("b.s").alias("match"))
+@query("select c_custkey id, (select min(s_suppkey) from supplier where s_nationkey = c_nationkey and abs(s_acctbal - c_acctbal) <= 500) \"match\" from customer")
+def first_match(spark, sf):
+    """The first supplier of the customer's nation whose balance is near."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("index"), F.col("s_acctbal").alias("x"))
+    return candidates.first_match(c, s, "k", "x", 500.0, lambda a, b: F.abs(a - b)).select("id", "match")
 
 
 _VEC = "select vec_id, label, embedding::double[] v from embeddings"
@@ -367,14 +408,17 @@ def knn_groups(spark, sf):
     return selection.kth_group_distance(d, "vec_id", "label", 5).withColumn("distance", _r("distance"))
 
 
-_PAIRS = "r as (select c_nationkey k, sum(c_acctbal::decimal(18,2))::double x from customer where c_mktsegment = 'BUILDING' group by 1), t as (select s_nationkey k, count(*) y from supplier where s_acctbal > 2000 group by 1)"
-
-
-@query(f"with {_PAIRS} select coalesce(r.k, t.k) k, x, y, r.k is null as forced, t.k is not null as labeled from r full join t on r.k = t.k")
-def merge_full_outer(spark, sf):
-    r = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("x"))
-    t = table(spark, sf, "supplier").where("s_acctbal > 2000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("y"))
-    return r.join(t, "k", "full_outer").select("k", "x", "y", F.col("x").isNull().alias("forced"), F.col("y").isNotNull().alias("labeled"))
+@query(_with(f""", k as (select *, {_UID} uid, (abs(a) + abs(b) + abs(c))::double hop from e), c as (select * from k where bar <= 0.5), r as (select * from k where bar > 0.4 and (ni <> nj or bar > 0.7))
+ select coalesce(c.gid, r.gid) graph_id, coalesce(c.uid, r.uid) uid, r.uid is not null is_labeled, r.uid is not null and coalesce(c.hop, r.hop) > 2 + 1e-12 forced,
+  case when r.uid is not null and coalesce(c.hop, r.hop) > 2 + 1e-12 then 'reported_neb_forced_beyond_empirical_cutoff' when r.uid is not null then 'distance_enumeration_plus_reported_neb' else 'distance_enumeration_from_raw_structure' end edge_source, r.bar reported
+ from c full join r on c.gid = r.gid and c.uid = r.uid"""))
+def merge_reported(spark, sf):
+    """Candidates and reported paths in one table; reported ones beyond the cutoff are forced."""
+    e = edges(spark, sf).withColumns({"hop_distance": (F.abs("a") + F.abs("b") + F.abs("c")).cast("double"), "cutoff": F.lit(2.0)})
+    known = e.where("barrier <= 0.5").drop("barrier", "edge_uid")
+    reported = e.where("barrier > 0.4 and (node_i <> node_j or barrier > 0.7)").select("graph_id", "node_i", "node_j", "a", "b", "c", "hop_distance", "cutoff", F.col("edge_uid").alias("record_id"), "barrier")
+    out = candidates.merge_reported(known, reported)
+    return out.select("graph_id", F.concat_ws("_", "node_i", "node_j", "a", "b", "c").alias("uid"), "is_labeled", "forced", "edge_source", F.get(F.map_values("reported_barrier"), F.lit(0)).alias("reported"))
 
 
 @query("select p_partkey, p_retailprice, p_size from part a where not exists (select 1 from part b where b.p_retailprice <= a.p_retailprice and b.p_size >= a.p_size and (b.p_retailprice < a.p_retailprice or b.p_size > a.p_size))")
@@ -414,7 +458,16 @@ def pareto_layers_all(spark, sf):
     return _layers(spark, sf)
 
 
-@query()
+_TURN = "(s = (select s from nm where nm.i = step % (select count(*) from nm)) and not taken)"
+
+
+@query(f"""with recursive x as (select vec_id::varchar id, label::varchar s, embedding::double[] v from embeddings), nm as (select s, row_number() over (order by s) - 1 i from (select distinct s from x)),
+ r(step, id, s, v, d, taken, pick) as (
+  select 0, id, s, v, 0.0::double, false, null::varchar from x
+  union all
+  select step + 1, id, s, v, if(step = 0, list_distance(v, pv) ** 2, least(d, list_distance(v, pv) ** 2)), taken or id = p, p
+  from (select *, first_value(id) over w p, first_value(v) over w pv from r window w as (order by {_TURN} desc, d desc, id)) where step < 10)
+ select distinct pick vec_id, step place from r where step > 0""")
 def farthest_first(spark, sf):
     """The ten most diverse vectors, labels taking turns."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(64)])
@@ -459,9 +512,11 @@ def kendall_tau(spark, sf):
     return stats.kendall(table(spark, sf, "customer").select("c_acctbal", F.col("c_nationkey").cast("double").alias("k")), "c_acctbal", "k").select(_r("kendall", 9).alias("kendall"))
 
 
-@query("with g as (select distinct c_nationkey, sha256('7|' || c_nationkey) h from customer), r as (select *, row_number() over (order by h, c_nationkey) k, count(*) over () n from g) select c_nationkey, case when k <= greatest(1, round_even(n * 0.2, 0)) then 'test' when k <= greatest(1, round_even(n * 0.2, 0)) + greatest(1, round_even(n * 0.25, 0)) then 'calibration' else 'train' end part from r")
+@query("""with g as (select distinct c_nationkey, sha256('{"base_seed":20260807,"context":"","group":"' || c_nationkey || '","group_column":"c_nationkey"}') h from customer),
+ r as (select *, row_number() over (order by h, c_nationkey::varchar) k, count(*) over () n from g) select c_nationkey, if(k <= greatest(ceil(n * 0.25), 9), 'calibration', 'proper_train') part from r""")
 def hash_split(spark, sf):
-    return selection.hash_split(table(spark, sf, "customer"), "c_nationkey", 7, 0.25, 0.2)
+    """A quarter of the groups to calibrate on, nine at least, as a level of 0.9 needs."""
+    return selection.hash_split(table(spark, sf, "customer"), "c_nationkey", 0.25)
 
 
 @query("select distinct c_mktsegment, (dense_rank() over (order by c_mktsegment) - 1)::int fold from customer")
@@ -469,7 +524,10 @@ def logo(spark, sf):
     return selection.leave_one_group_out(table(spark, sf, "customer"), "c_mktsegment")
 
 
-@query()
+@query("""with recursive g as (select c_nationkey k, count(*) n, row_number() over (order by count(*) desc, c_nationkey) i from customer group by 1),
+ r(i, loads, k, fold) as (select 0::bigint, [0, 0, 0, 0, 0]::bigint[], null::int, null::bigint
+  union all select g.i, list_transform(loads, lambda v, j: if(j = list_position(loads, list_min(loads)), v + g.n, v)), g.k, list_position(loads, list_min(loads)) - 1 from r join g on g.i = r.i + 1)
+ select k c_nationkey, fold::int fold from r where i > 0""")
 def group_kfold(spark, sf):
     return selection.group_kfold(table(spark, sf, "customer"), "c_nationkey", 5)
 
@@ -523,28 +581,29 @@ def review_rows(spark, sf):
     return stats.review_rows(_flagged(spark, sf), ["doc_id"])
 
 
-@query("select lang, count(*) n, count(*) filter (text is null or trim(text) = '') blank, count(distinct source) sources, round(avg((text is not null)::int + (lang is not null)::int + (source is not null)::int) / 3, 6) completeness from documents group by 1")
-def audit_counts(spark, sf):
-    d = table(spark, sf, "documents")
-    have = sum((T.present(F.col(c), "string").cast("int") for c in ("lang", "source")), F.col("text").isNotNull().cast("int"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~T.present(F.col("text"), "string")).alias("blank"), F.countDistinct("source").alias("sources"), _r(F.avg(have) / 3).alias("completeness"))
-
-
 @query("select n_nationkey, (('0x' || substr(sha256('20260621|' || n_name || '|' || n_regionkey), 1, 8))::bigint % 2147483647)::bigint seed from nation")
 def derived_seed(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", T.derived_seed(20260621, F.col("n_name"), F.col("n_regionkey")).alias("seed"))
 
 
-@query("select n_nationkey, 'nation_' || substr(sha256(n_name), 1, 20) id, 'pg_' || substr(sha256(n_name), 1, 18) graph_id, printf('em_complete_%04d_jid_%s', n_nationkey, n_name) record_id from nation")
+@query("""select n_nationkey, 'nation_' || substr(sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}'), 1, 20) id, 'pg_' || substr(sha256(n_name), 1, 18) graph_id, printf('em_complete_%04d_jid_%s', n_nationkey, n_name) record_id,
+ 'edge_' || substr(sha256('{"graph_id":"g","node_i":"' || n_name || '","node_j":"z","shift":[' || n_regionkey || ',-1,0]}'), 1, 22) edge_uid, printf('edge_%04d', n_nationkey + 1) default_uid from nation""")
 def stable_ids(spark, sf):
     n = table(spark, sf, "nation")
-    return n.select("n_nationkey", T.stable_id("nation", F.col("n_name")).alias("id"), T.graph_id(F.col("n_name")).alias("graph_id"), T.record_id(F.col("n_nationkey"), F.col("n_name")).alias("record_id"))
+    payload = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")))
+    uid = candidates.edge_identity(F.lit("g"), F.col("n_name"), F.lit("z"), F.array(F.col("n_regionkey"), F.lit(-1), F.lit(0)))
+    return n.select("n_nationkey", T.stable_id("nation", payload).alias("id"), T.graph_id(F.col("n_name")).alias("graph_id"), T.record_id(F.col("n_nationkey"), F.col("n_name")).alias("record_id"), uid.alias("edge_uid"), T.edge_uid(F.col("n_nationkey") + 1).alias("default_uid"))
+
+
+_METAL = "case p_size % 4 when 0 then 'Alkali Metal' when 1 then ' transition metal ' when 2 then 'metalloid' else 'yes' end"
 
 
-@query(r"select p_partkey, upper(regexp_replace(trim(p_name), '\s+', ' ', 'g')) family, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') brand, try_cast(regexp_extract(p_brand, '[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?', 0) as double) number, least(p_name, p_type) || '|' || greatest(p_name, p_type) pair from part")
+@query(rf"select p_partkey, if(p_size % 7 = 0, 'SPINEL', if(p_size % 7 = 1, 'UNSPECIFIED', upper(regexp_replace(trim(p_name), '\s+', ' ', 'g')))) family, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') brand, case p_size % 5 when 3 then null when 2 then p_size * 100 when 1 then round(p_retailprice, 2) when 0 then p_size else -p_size - 0.5 end::double number, (p_size % 4 < 2)::int::double metal, least(p_name, p_type) || '|' || greatest(p_name, p_type) pair from part")
 def name_functions(spark, sf):
     p = table(spark, sf, "part")
-    return p.select("p_partkey", T.family(F.col("p_name")).alias("family"), T.normal_name(F.col("p_brand")).alias("brand"), T.first_number(F.col("p_brand")).alias("number"), T.unordered_pair(F.col("p_name"), F.col("p_type")).alias("pair"))
+    name = F.when(F.col("p_size") % 7 == 0, F.lit(" spinels ")).when(F.col("p_size") % 7 == 1, F.lit(" ")).otherwise(F.col("p_name"))
+    cell = F.when(F.col("p_size") % 5 == 1, F.concat(F.lit("about "), F.format_string("%.2f", "p_retailprice"), F.lit(" eV"))).otherwise(F.expr("case p_size % 5 when 0 then p_size || ' kJ' when 2 then p_size || 'e2' when 3 then 'none' else '-' || p_size || '.5x7' end"))
+    return p.select("p_partkey", T.family(name).alias("family"), T.normal_name(F.col("p_brand")).alias("brand"), T.first_number(cell).alias("number"), T.is_metal(F.expr(_METAL)).alias("metal"), T.unordered_pair(F.col("p_name"), F.col("p_type")).alias("pair"))
 
 
 @query("with x as (select vec_id, embedding[1]::double * 7 a, embedding[2]::double * 7 b, embedding[3]::double * 7 c from embeddings) select vec_id, round(a - floor(a), 6) wa, floor(b)::int ob, round(sqrt((a - round_even(a, 0)) ** 2 + (b - round_even(b, 0)) ** 2 + (c - round_even(c, 0)) ** 2), 6) near, abs(a) <= 1 and abs(b) <= 1 and abs(c) <= 1 inside from x")

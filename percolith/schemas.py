@@ -57,6 +57,7 @@ NODES = _struct(graph_id=StringType(), node_id=StringType(), frac_coords=ArrayTy
 EDGES = _struct(graph_id=StringType(), edge_uid=StringType(), node_i=StringType(), node_j=StringType(), a=IntegerType(), b=IntegerType(), c=IntegerType(), barrier=DoubleType())
 
 CRITICAL = ArrayType(_struct(edge_uid=StringType(), directions=ArrayType(StringType()), rank_critical=BooleanType()))
+SUPERCELL = _struct(cells=LongType(), node_images=LongType(), edge_images=LongType())
 READOUT = StructType(
     [
         StructField("graph_id", StringType()),
@@ -73,5 +74,10 @@ READOUT = StructType(
         StructField("n_nodes", LongType()),
         StructField("n_edges", LongType()),
         StructField("critical", CRITICAL),
+        StructField("missing_barrier_edge_uids", ArrayType(StringType())),
+        StructField("periodic_dimensionality", StringType()),
+        StructField("winding_vectors", ArrayType(ArrayType(IntegerType()))),
+        StructField("supercell_r1", SUPERCELL),
+        StructField("supercell_r2", SUPERCELL),
     ]
 )

@@ -7,9 +7,8 @@ import html
 import json
 import time
 from collections.abc import Sequence
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT_ROWS = 200
@@ -65,6 +64,21 @@ def write_csv_artifacts(df: DataFrame, path: str) -> dict:
     return notes
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text as one file of a folder, wherever Spark can write."""
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_file(spark: SparkSession, text: str, path: str) -> None:
+    """One text as a plain file through Hadoop's file systems, so the path may be remote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame, readout: DataFrame) -> DataFrame:
     """(graph_id, json): metadata, nodes, edges and readout of every graph as one text; graphs are bounded."""
     n = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in nodes.columns if c != "graph_id"]))).alias("nodes"))
@@ -103,10 +117,10 @@ def save_run(result: dict[str, DataFrame], folder: str, inputs: dict[str, str] |
         stored = df.sparkSession.read.parquet(f"{folder}/{name}.parquet")
         write_csv(stored, f"{folder}/{name}.csv", single=True)
         manifest["tables"][name] = digest(flat(stored)) | {"schema": logical_schema(stored)}
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    spark = next(iter(result.values())).sparkSession
     if {"ranked", "readout"} <= set(result):
         page = report_html(result["ranked"], result["readout"], language)
-        (Path(folder) / "report.html").write_text(page, encoding="utf-8")
+        write_file(spark, page, f"{folder}/report.html")
         manifest["report_sha256"] = hashlib.sha256(page.encode()).hexdigest()
-    (Path(folder) / "manifest.json").write_text(json.dumps(manifest, indent=2, ensure_ascii=False), encoding="utf-8")
+    write_file(spark, json.dumps(manifest, indent=2, ensure_ascii=False), f"{folder}/manifest.json")
     return manifest

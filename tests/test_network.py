@@ -1,6 +1,6 @@
 import pytest
 
-from percolith.operators import checks, network, selection
+from percolith.operators import checks, kernel, network, selection
 from percolith.plans.analyze import analyze
 from percolith.schemas import AXES
 
@@ -36,6 +36,48 @@ def test_removal_of_an_only_edge(spark):
     assert row.lost_a and row.rank_loss == 1
 
 
+def test_removals_must_converge(spark):
+    nodes = spark.createDataFrame([("g", "n")], "graph_id string, node_id string")
+    rows = [("g", "e2", "n", "n", 2, 0, 0, 0.1), ("g", "e3", "n", "n", 3, 0, 0, 0.2)]
+    edges = spark.createDataFrame(rows, EDGE)
+    read = network.readout(nodes, edges).first()
+    assert (read.eperc_a_exact, read.eperc_a_r2, read.eperc_a_r1, read.status) == (0.2, 0.2, None, "SUPERCELL_NOT_CONVERGED")
+    with pytest.raises(checks.CheckError):
+        network.edge_removal(nodes, edges)
+    loose = network.edge_removal(nodes, edges, strict=False).collect()
+    assert all(r.lost_a is None and r.delta_eperc_a is None for r in loose)
+    # the baseline converges through a shorter loop; without it the others don't
+    with pytest.raises(checks.CheckError):
+        network.edge_removal(nodes, spark.createDataFrame([*rows, ("g", "e1", "n", "n", 1, 0, 0, 0.05)], EDGE))
+
+
+def test_fields_of_a_readout(two):
+    out = {r.graph_id: r for r in network.readout(*two).collect()}
+    assert out["flat"].periodic_dimensionality == "2D" and out["flat"].winding_vectors == [[0, 1, 0], [1, 0, 0]] and out["flat"].missing_barrier_edge_uids == []
+    assert out["chain"].supercell_r1.asDict() == {"cells": 27, "node_images": 54, "edge_images": 27 + 18 + 18}
+    part = {r.graph_id: r for r in network.readout(*two, figures=("r1",)).collect()}
+    assert part["chain"].eperc_a_r1 == 0.4 and part["chain"].eperc_a_exact is None and part["chain"].winding_rank is None
+    assert {(r.graph_id, r.edge_uid) for r in network.bridges(*two).collect()} == set()
+    assert {(r.graph_id, r.edge_uid) for r in network.bridges(two[0], two[1].where("edge_uid in ('ea', 'e1')")).collect()} == {("chain", "e1")}
+    assert kernel.minor_gcds([(2, 0, 0), (0, 3, 0)]) == [1, 6] and kernel.minor_gcds([(2, 0, 0), (4, 0, 0)]) == [2] and kernel.minor_gcds([]) == []
+
+
+def test_missing_barriers_are_named(two, spark):
+    edges = two[1].unionByName(spark.createDataFrame([("flat", "ez", "n0", "n0", 0, 0, 1, None)], EDGE))
+    row = network.readout(two[0], edges).where("graph_id = 'flat'").first()
+    assert row.status == "PREDICTED_BARRIER_COVERAGE_INCOMPLETE" and row.missing_barrier_edge_uids == ["ez"] and row.periodic_dimensionality is None
+
+
+def test_removal_by_score_and_first_threshold(two, spark):
+    scored = two[1].withColumn("s", -two[1]["barrier"])
+    out = network.removal_response(two[0], scored, [0.0, 0.34, 1.0], "s", repeats=3)
+    ranked = {(r.graph_id, r.fraction): r.largest for r in out.where("strategy = 'ranked'").collect()}
+    assert ranked["chain", 0.0] == 1.0 and ranked["chain", 0.34] == 1.0 and ranked["chain", 1.0] == 0.5
+    assert network.mean_response(out).count() == 3 * 2 * 3
+    f = network.largest_fraction(*two, [0.05, 0.1, 0.4])
+    assert {r.graph_id: r.threshold for r in network.first_threshold(f, 0.9).collect()} == {"flat": 0.05, "chain": 0.1, "bare": 0.05}
+
+
 def test_removal_response_is_whole(spark):
     from percolith.plans.queries import QUERIES
 

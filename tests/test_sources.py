@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -130,19 +131,64 @@ def test_merge_sites_and_reported(spark):
     out = candidates.merge_sites(sites, 0.01).orderBy("node_id").collect()
     assert [r.record_ids for r in out] == [["r1", "r2"], ["r1"]]
     key = "graph_id string, node_i string, node_j string, a int, b int, c int"
-    edges = spark.createDataFrame([("g", "n0", "n1", 0, 0, 0)], key)
-    reported = spark.createDataFrame([("g", "n0", "n1", 0, 0, 0, "r1", 0.3), ("g", "n0", "n0", -1, 0, 0, "r2", 0.5)], key + ", record_id string, barrier double")
-    merged = {r.node_j: r for r in candidates.merge_reported(edges, reported).collect()}
-    assert merged["n1"].is_labeled and not merged["n1"].forced and merged["n0"].forced
+    hop = ", hop_distance double, cutoff double"
+    edges = spark.createDataFrame([("g", "n0", "n1", 0, 0, 0, 2.0, 3.0), ("g", "n1", "n1", -1, 0, 0, 3.0, 3.0)], key + hop)
+    reported = spark.createDataFrame([("g", "n0", "n1", 0, 0, 0, 2.0, 3.0, "r1", 0.3), ("g", "n0", "n0", -1, 0, 0, 4.0, 3.0, "r2", 0.5), ("g", "n0", "n2", 0, 0, 0, 3.0, 3.0, "r3", 0.1)], key + hop + ", record_id string, barrier double")
+    merged = {(r.node_i, r.node_j): (r.is_labeled, r.forced, r.edge_source) for r in candidates.merge_reported(edges, reported).collect()}
+    assert merged == {
+        ("n0", "n1"): (True, False, candidates.REPORTED), ("n1", "n1"): (False, False, candidates.ENUMERATED),
+        ("n0", "n0"): (True, True, candidates.FORCED), ("n0", "n2"): (True, False, candidates.REPORTED),  # within the cutoff, so not forced
+    }
+
+
+def test_images_in_random_cells():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        lattice = rng.normal(size=(3, 3)) * rng.choice([0.3, 1, 4], size=(3, 1)) + rng.integers(-2, 3, (3, 3))
+        if abs(np.linalg.det(lattice)) < 0.3:
+            continue
+        a, b = rng.uniform(-2, 2, 3), rng.uniform(-2, 2, 3)
+        base = np.mod(b, 1) - np.mod(a, 1)
+        every = np.linalg.norm((base + np.array(candidates.all_shifts(9))) @ lattice, axis=1).min()
+        out = candidates.minimum_image(a, b, lattice)
+        assert out["distance"] <= every + 1e-9 and np.linalg.norm((base + out["shift"]) @ lattice) == pytest.approx(out["distance"])
+        assert candidates.image_distances(a, b, lattice)[0] == pytest.approx(out["distance"])
+    tied = candidates.minimum_image([0, 0, 0], [0.5, 0, 0], np.eye(3))
+    assert tied["shift"] == (0, 0, 0) and tied["ties"] == 2  # the hint
+    assert candidates.minimum_image([0, 0, 0], [1.5, 0, 0], np.eye(3))["shift"] == (-1, 0, 0)  # no hint among them: the first
 
 
 def test_text_functions(spark):
-    assert T.reduce_formula("Na4Cl4") == "NaCl" and T.reduce_formula("Cl2Na4") == "ClNa2" and T.reduce_formula("Li0.5O1") == "LiO2"
-    assert T.canonical({"b": 1, "a": [1.0]}) == '{"a":[1.0],"b":1}'
-    df = spark.createDataFrame([("@article{Key2020, x}",), ("@misc{SELF,}",), ("none",)], "x string")
     from pyspark.sql import functions as F
 
-    assert [r[0] for r in df.select(T.source_group(F.col("x"), F.lit("?"))).collect()] == ["Key2020", "?", "?"]
+    good = {"Na4Cl4": "NaCl", "Cl2Na4": "ClNa2", "Li0.5O1": "LiO2", "CH3CH3": "CH3CH3", "Na 2 Cl2": "NaCl", "NaCl": "NaCl", "Li2": "Li"}
+    assert {x: T.reduce_formula(x) for x in good} == good
+    for bad in ("Foo!", "xyz", "Li(PO4)3", "", "Na0", "2Na"):
+        with pytest.raises(ValueError):
+            T.reduce_formula(bad)
+    assert T.canonical({"b": 1, "a": [1.0]}) == '{"a":[1.0],"b":1}'
+    rows = [("@article{Key2020, x}", "Key2020"), ("@misc{SELF,}", "SELF"), (" self ", "SELF"), ("none", "?"), (None, "?")]
+    assert [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(T.source_group(F.col("x"), F.lit("?"))).collect()] == [y for _, y in rows]
+    numbers = [("1.5e3 K", 1.5), ("1.5e3", 1500.0), ("-3", -3.0), (" 2.50 ", 2.5), ("about +7.25 eV", 7.25), ("nan", None), ("inf", None), ("1e999", None), ("none", None), (None, None), ("12.", 12.0), ("5d", 5.0), (".5", 0.5)]
+    assert [r[0] for r in spark.createDataFrame(numbers, "x string, y double").select(T.first_number(F.col("x"))).collect()] == [y for _, y in numbers]
+    metals = [("Alkali Metal ", 1.0), ("lanthanoid", 1.0), ("transition metal", 1.0), ("metalloid", 0.0), ("yes", 0.0), ("1", 0.0), (None, 0.0), ("nonmetal", 0.0)]
+    assert [r[0] for r in spark.createDataFrame(metals, "x string, y double").select(T.is_metal(F.col("x"))).collect()] == [y for _, y in metals]
+    families = [("spinels", "SPINEL"), ("  a  b ", "A B"), ("", "UNSPECIFIED")]
+    assert [r[0] for r in spark.createDataFrame(families, "x string, y string").select(T.family(F.col("x"))).collect()] == [y for _, y in families]
+    payload = spark.range(1).select(F.to_json(F.struct(F.lit(2).alias("b"), F.lit("x").alias("a"))).alias("p"))
+    expected = hashlib.sha256(b'{"a":"x","b":2}').hexdigest()[:20]
+    assert payload.select(T.stable_id("k", F.col("p"))).first()[0] == f"k_{expected}"
+
+
+def test_leaking_names():
+    names = ["Hop Distance", "predicted_barrier_eV", "source group id", "resource", "A_x"]
+    assert checks.leaking_names(names, patterns=["barrier"], names=["source group"]) == ["predicted_barrier_eV", "source group id"]
+    assert checks.leaking_names(names, allowed=["A_x"]) == sorted(set(names) - {"A_x"})
+    with pytest.raises(checks.CheckError):
+        checks.require_no_leakage(names, patterns=["barrier"])
+    checks.require_partition(["a", "b"], {"x": ["a"], "y": ["b"]})
+    with pytest.raises(checks.CheckError):
+        checks.require_partition(["a", "b"], {"x": ["a"], "y": ["a", "b"]})
 
 
 def test_features(spark):
@@ -166,12 +212,32 @@ def test_governance(spark, tmp_path):
 
     s = {"lattice_mat": [[4.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 4.0]], "elements": ["Na"], "coords": [[0.0, 0.0, 0.0]], "cartesian": False}
     bad = s | {"elements": []}
-    rows = [(i, f"j{min(i, 2)}", "Na2Cl2", t, "PBE", "@a{K,}", "c", "n", "P1", ini, s) for i, (t, ini) in enumerate([(0.1, s), (0.2, s), (0.2, s), (None, bad)])]
-    out = {r.raw_index: r for r in governance.provenance(spark.createDataFrame(rows, governance.RAW)).collect()}
-    assert "DUPLICATE_RECORD" in out[1].quality_flag and "DUPLICATE_RECORD" not in out[0].quality_flag
-    assert out[3].quality_flag.startswith("INVALID_STRUCTURE;MISSING_FIELDS;MISSING_BARRIER") and out[0].reduced_formula == "NaCl"
-    made = governance.run(spark.createDataFrame(rows, governance.RAW), str(tmp_path))
-    assert made["audit"].first().records == 4
+    moved = s | {"elements": ["Na", "Cl"], "coords": [[0.9, 0.0, 0.0], [0.5, 0.5, 0.5]]}
+    ini = moved | {"coords": [[0.1, 0.0, 0.0], [0.5, 0.5, 0.5]]}
+    swapped = ini | {"elements": ["Cl", "Na"]}
+    values = [
+        ("j0", "Na2Cl2", 0.1, "@a{K,}", ini, moved), ("j1", "Na2Cl2", 0.2, "SELF", ini, moved), ("j2", "Na(Cl)", 0.2, "none", ini, moved), ("j2", "NaCl", None, "@a{K,}", bad, s),
+        ("j4", "NaCl", -1.0, "@a{K,}", ini, swapped), ("j5", "NaCl", float("inf"), "@a{K,}", s, s), ("j6", None, 0.15, "@a{K,}", None, s),
+    ]
+    rows = [(i, j, f, t, "PBE", b, "c", "n", "P1", x, y) for i, (j, f, t, b, x, y) in enumerate(values)]
+    raw = spark.createDataFrame(rows, governance.RAW)
+    out = {r.raw_index: r for r in governance.provenance(raw).collect()}
+    flags = {i: set(r.quality_flag.split(";")) for i, r in out.items()}
+    assert flags[0] == {"REPEATED_INITIAL_STRUCTURE", "REPEATED_FINAL_STRUCTURE"} and out[0].migrating_species == "Na" and out[0].migration_displacement_A == pytest.approx(0.8)
+    assert flags[1] == flags[0] | {"DUPLICATE_TRANSITION_RECORD"}
+    assert {"FORMULA_REDUCTION_FAILED", "MISSING_BIBTEX_CITATION_KEY", "DUPLICATE_TRANSITION_RECORD", "DUPLICATE_JID"} <= flags[2] and out[2].reduced_formula == "UNRESOLVED"
+    assert out[3].quality_flag.startswith("MISSING_METADATA_target;INVALID_STRUCTURE_INI;BARRIER_NOT_NUMERIC;MIGRATING_SPECIES_UNRESOLVED") and out[3].structure_ini_hash == ""
+    assert {"STRUCTURE_ELEMENT_ORDER_MISMATCH", "BARRIER_NEGATIVE"} <= flags[4] and {"BARRIER_NOT_FINITE", "MIGRATING_SPECIES_UNRESOLVED"} <= flags[5]
+    assert "MISSING_METADATA_formula_structure_ini" in flags[6] and "MISSING_STRUCTURE_INI" in flags[6] and out[6].metadata_completeness == "0.800"
+    assert out[0].duplicate_group_id.split(";")[0] == "initial_structure_" + out[0].structure_ini_hash[:16] and out[1].source_group == "SELF" and out[2].source_group == "unresolved"
+    assert out[0].reduced_formula == "NaCl" and len(out[0].raw_record_sha256) == 64
+    made = governance.run(raw, str(tmp_path))
+    counts = made["audit"].first()
+    assert (counts.records, counts.invalid_barrier_records, counts.formula_reduction_failure_records, counts.jids) == (7, 3, 2, 6)
+    advice = {r.review_reason: r.review_guidance for r in made["review"].collect()}
+    assert advice["REPEATED_INITIAL_STRUCTURE"] != advice["DUPLICATE_JID"] and advice["INVALID_STRUCTURE_INI"] == advice["MIGRATING_SPECIES_UNRESOLVED"]
+    assert {r.value for r in made["counts"].where("kind = 'by_migrating_species'").collect()} == {"Na", "UNRESOLVED"}
+    assert "records: 7" in "".join(r.value for r in spark.read.text(str(tmp_path / "audit_page")).collect())
 
 
 def test_run_folder(spark, tmp_path):
