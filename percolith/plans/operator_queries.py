@@ -31,7 +31,8 @@ def graph_first_threshold(spark, sf):
     return network.first_threshold(network.largest_fraction(nodes(spark, sf), edges(spark, sf), [0.1, 0.12, 0.14, 0.16, 0.18, 0.2, 0.3]))
 
 
-@query(_with(f""", k as (select *, {_UID} uid from e), deg as (select gid, node, count(*) c from (select gid, ni node from k union all select gid, nj from k) group by 1, 2),
+# Shares of the largest component for every order of removal, 80 of them random by hash.
+_RESPONSE = f""", k as (select *, {_UID} uid from e), deg as (select gid, node, count(*) c from (select gid, ni node from k union all select gid, nj from k) group by 1, 2),
  s as (select k.*, i.c + j.c score from k join deg i on i.gid = k.gid and i.node = ni join deg j on j.gid = k.gid and j.node = nj),
  o as (select 'ranked' strategy, 0 rep, gid, uid, ni, nj, row_number() over (partition by gid order by score desc, uid) r, count(*) over (partition by gid) m from s
   union all select 'random', z, gid, uid, ni, nj, row_number() over (partition by gid, z order by sha256('12|' || gid || '|' || z || '|' || uid)), count(*) over (partition by gid, z) from s, range(80) t(z)),
@@ -40,7 +41,15 @@ def graph_first_threshold(spark, sf):
  q(strategy, rep, gid, f, s, n) as (select distinct strategy, rep, o.gid, f, node, node from (select distinct strategy, rep, gid from o) o join n using (gid), fr
   union select q.strategy, q.rep, q.gid, q.f, q.s, p.nj from q join pairs p on p.strategy = q.strategy and p.rep = q.rep and p.gid = q.gid and p.f = q.f and p.ni = q.n),
  c as (select strategy, rep, gid, f, s, count(*) k from q group by all), b as (select strategy, rep, gid, f, max(k) / (select count(*) from n where n.gid = c.gid)::double largest from c group by strategy, rep, gid, f)
- select gid graph_id, strategy, f fraction, round(avg(largest), 9) largest from b group by 1, 2, 3"""))
+"""
+
+
+@query(_with(_RESPONSE + " select gid graph_id, strategy, f fraction, rep::int repeat, largest from b"))
+def graph_removal_response(spark, sf):
+    return network.removal_response(nodes(spark, sf), edges(spark, sf), [k / 10 for k in range(9)])
+
+
+@query(_with(_RESPONSE + " select gid graph_id, strategy, f fraction, round(avg(largest), 9) largest from b group by 1, 2, 3"))
 def graph_mean_response(spark, sf):
     """The mean share of the largest component, over all 80 random orders and for the ranked one."""
     out = network.mean_response(network.removal_response(nodes(spark, sf), edges(spark, sf), [k / 10 for k in range(9)]))

@@ -207,11 +207,6 @@ def graph_largest_fraction(spark, sf):
     return out.withColumn("fraction", _r("fraction"))
 
 
-@query()
-def graph_removal_response(spark, sf):
-    return network.removal_response(nodes(spark, sf), edges(spark, sf), [k / 10 for k in range(9)])
-
-
 _RANK_SQL = _with(""", x as (select gid, ni || '_' || nj || '_' || a || '_' || b || '_' || c uid, bar, (abs(a) + abs(b) + abs(c)) * 0.01::double spread, a + b + c = 0 lab, ni = nj ood from e),
  y as (select *, 1.0 - count(*) over (partition by gid order by bar range between unbounded preceding and 1e-12 following) / count(*) over (partition by gid) low,
    count(*) over (partition by gid order by spread range between unbounded preceding and 1e-12 following) / count(*) over (partition by gid) wide from x)
@@ -228,12 +223,17 @@ def rank_exploit_explore(spark, sf):
     return out.select("graph_id", "edge_uid", _r("low", 9).alias("low"), _r("wide", 9).alias("wide"), "exploit_rank", "explore_rank")
 
 
-@query()
+@query(_with(f""", {_CRITICAL}, {_REMOVED},
+ y as (select en.gid, en.uid, en.bar, 1.0 - count(*) over (partition by en.gid order by en.bar range between unbounded preceding and 1e-12 following) / count(*) over (partition by en.gid) low, crit.uid is not null crit, coalesce(directions, '') directions,
+  if(crit.uid is not null and sure, greatest(0, ra - eperc_a, rb - eperc_b, rc - eperc_c), 0.0) delta from en join th on th.graph_id = en.gid left join crit on crit.gid = en.gid and crit.uid = en.uid left join gone on gone.gid = en.gid and gone.uid = en.uid)
+ select gid graph_id, uid edge_uid, bar barrier, round(low, 9) low, 1.0::double wide, crit::int critical, directions critical_directions, round(delta, 9)::double max_delta,
+  row_number() over (partition by gid order by crit desc, low desc, delta desc, uid desc)::int exploit_rank, row_number() over (partition by gid order by crit desc, delta desc, low desc, uid desc)::int explore_rank from y"""))
 def analyze_networks(spark, sf):
     """Readout, removal and ranking together: the flagship plan."""
     from .analyze import analyze
 
-    return analyze(nodes(spark, sf), edges(spark, sf))["ranked"].withColumn("critical_directions", F.array_join("critical_directions", ","))
+    out = analyze(nodes(spark, sf), edges(spark, sf))["ranked"].withColumn("critical_directions", F.array_join("critical_directions", ","))
+    return out.select("graph_id", "edge_uid", "barrier", _r("low", 9).alias("low"), "wide", "critical", "critical_directions", _r("max_delta", 9).alias("max_delta"), "exploit_rank", "explore_rank")
 
 
 # windows, ranks and scores

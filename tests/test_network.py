@@ -79,9 +79,9 @@ def test_removal_by_score_and_first_threshold(two, spark):
 
 
 def test_removal_response_is_whole(spark):
-    from percolith.plans.queries import QUERIES
+    from percolith.plans.operator_queries import graph_removal_response
 
-    out = QUERIES["graph_removal_response"](spark, "/root/testdata/sf0.001").collect()
+    out = graph_removal_response(spark, "/root/testdata/sf0.001").collect()
     shares = {k / 10 for k in range(9)}
     assert {(r.strategy, r.fraction, r.repeat) for r in out} == {("ranked", f, 0) for f in shares} | {("random", f, k) for f in shares for k in range(80)}
     assert len(out) == 729 * len({r.graph_id for r in out})
