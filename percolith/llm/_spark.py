@@ -23,6 +23,16 @@ def keyed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(body).alias("_th"), body.alias("_text"))
 
 
+def free_name(name: str, own: tuple[str, ...]) -> str:
+    """The name under which a kept column is returned: its own, with ``_in`` after it where the operator has a column of that name."""
+    return f"{name}_in" if name.lower() in own else name
+
+
+def whole_row(df: DataFrame, keep: list[str]) -> Column:
+    """Some columns, whatever their names, as one struct."""
+    return F.struct(*[df[f"`{c}`"] for c in keep])
+
+
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_th"] == right["_th"])
 

@@ -12,6 +12,9 @@ Documents are not shuffled.
 
 Edge cases: null or empty texts have no words, no hit and the digest of the empty string; a null item_id
 is shown as the empty string; items that share an id count once; repeated rows are judged each for itself.
+Of equally rare shingles the first is the prefix.  Empty documents give an empty table, an empty benchmark no
+hit; a text of any length is read whole.  A kept column with the name of a column of the result has ``_in``
+after it; other columns take no part.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map
+from ._spark import arrow_map, free_name, whole_row
 from ._text import LOWER, Words, blocks, merged, spans_hash
 
 WINDOW, SHINGLE = 10, 5
 #: Bytes of item text that are indexed and broadcast at once.
 BLOCK_ITEMS_BYTES = 4 << 20
 _MAP_BITS = 22
+COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
 
 
 class ItemIndex:
@@ -131,11 +135,14 @@ def _count_tokens(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["token", "n"])
 
 
-def _hits(batch: pa.RecordBatch, shared) -> Iterator[dict]:
+def _marked(batch: pa.RecordBatch, shared) -> tuple[list[bytes], list[list[str]], np.ndarray]:
+    """Per document: hit spans and items, those of earlier blocks of items included, and its words."""
     index: ItemIndex = shared.value
     spans, items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+    n = np.zeros(batch.num_rows, np.int64)
     for block in blocks(batch.column("_text")):
         words = Words(block, "alnum")
+        n[block.first : block.first + len(block)] = np.diff(words.first)
         start, end, window = _occurrences(index, words, block.buf.tobytes().translate(LOWER))
         doc = np.searchsorted(words.first, start, side="right") - 1
         for i in np.unique(doc):
@@ -145,13 +152,18 @@ def _hits(batch: pa.RecordBatch, shared) -> Iterator[dict]:
             a, b = merged(np.r_[old[:, 0], start[mine] - words.first[i]], np.r_[old[:, 1], end[mine] - words.first[i]])
             spans[row] = np.stack((a, b), axis=1).tobytes()
             items[row] = sorted(found.union(items[row]))
+    return spans, items, n
+
+
+def _hits(batch: pa.RecordBatch, shared) -> Iterator[dict]:
+    spans, items, _ = _marked(batch, shared)
     yield {"_row": batch.column("_row"), "_text": batch.column("_text"), "_spans": spans, "_items": items}
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[dict]:
-    n = np.concatenate([np.zeros(0, np.int64), *(np.diff(Words(block, "alnum", hashed=False).first) for block in blocks(batch.column("_text")))])
-    spans = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("_spans").to_pylist()]
-    items = batch.column("_items").to_pylist()
+def _said(batch: pa.RecordBatch, shared) -> Iterator[dict]:
+    """The last block of items, and what all have found."""
+    packed, items, n = _marked(batch, shared)
+    spans = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed]
     yield {
         "_row": batch.column("_row"),
         "n_words": n,
@@ -169,22 +181,22 @@ def find(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str =
     chosen = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     size = chosen.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = int(size // BLOCK_ITEMS_BYTES) + 1
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = docs.select(whole_row(docs, keep).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
     out = rows.withColumns({"_spans": F.lit(b""), "_items": F.array().cast("array<string>")})
     for part in range(parts):
         block = chosen.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).toArrow()
         index = ItemIndex(block["id"].to_pylist(), block["text"].combine_chunks(), window, shingle)
-        if not index.texts:
-            continue
-        first = spark.sparkContext.broadcast(index)
-        counts = np.zeros(len(index.all), np.int64)
-        seen = rows.select("_text").mapInArrow(lambda b, s=first: _count_tokens(b, s), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-        counts[seen["token"].to_numpy()] = seen["n"].to_numpy()
-        first.unpersist()
-        index.choose(counts)
+        if index.texts:
+            first = spark.sparkContext.broadcast(index)
+            counts = np.zeros(len(index.all), np.int64)
+            seen = rows.select("_text").mapInArrow(lambda b, s=first: _count_tokens(b, s), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+            counts[seen["token"].to_numpy()] = seen["n"].to_numpy()
+            first.unpersist()
+            index.choose(counts)
         second = spark.sparkContext.broadcast(index)
-        out = arrow_map(out, lambda b, s=second: _hits(b, s), f"_row {kind}, _text string, _spans binary, _items array<string>")
-    out = arrow_map(out, _words, f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<long>")
-    found = out.select(*[F.col("_row").getField(c).alias(c) for c in keep], "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
+        if part + 1 < parts:
+            out = arrow_map(out, lambda b, s=second: _hits(b, s), f"_row {kind}, _text string, _spans binary, _items array<string>")
+    out = arrow_map(out, lambda b, s=second: _said(b, s), f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<long>")
+    found = out.select(*[F.col("_row").getField(c).alias(free_name(c, COLUMNS)) for c in keep], "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
     return found
