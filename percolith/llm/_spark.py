@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..shared import drop, shared_folder, stored
 
@@ -37,12 +38,17 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_th"] == right["_th"])
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+def fields(schema: str, *first: StructField) -> StructType:
+    """Some fields, whatever their names, and those of a DDL text."""
+    return StructType([*first, *_parse_datatype_string(schema).fields])
+
+
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from a batch to dicts of numpy arrays, Arrow arrays or lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    schema = fields(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
