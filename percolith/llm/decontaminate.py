@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, free_name, whole_row
+from ._spark import arrow_map, fields, free_name, whole_row
 from ._text import LOWER, Words, blocks, merged, spans_hash
 
 WINDOW, SHINGLE = 10, 5
@@ -182,7 +182,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str =
     size = chosen.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = int(size // BLOCK_ITEMS_BYTES) + 1
     rows = docs.select(whole_row(docs, keep).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
+    kind = rows.schema["_row"]
     out = rows.withColumns({"_spans": F.lit(b""), "_items": F.array().cast("array<string>")})
     for part in range(parts):
         block = chosen.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).toArrow()
@@ -196,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str =
             index.choose(counts)
         second = spark.sparkContext.broadcast(index)
         if part + 1 < parts:
-            out = arrow_map(out, lambda b, s=second: _hits(b, s), f"_row {kind}, _text string, _spans binary, _items array<string>")
-    out = arrow_map(out, lambda b, s=second: _said(b, s), f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<long>")
+            out = arrow_map(out, lambda b, s=second: _hits(b, s), fields("_text string, _spans binary, _items array<string>", kind))
+    out = arrow_map(out, lambda b, s=second: _said(b, s), fields("n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<long>", kind))
     found = out.select(*[F.col("_row").getField(c).alias(free_name(c, COLUMNS)) for c in keep], "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
     return found

@@ -6,7 +6,9 @@ profile is the sum over its n-grams of how far each is out of place, ``size`` fo
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing
 could be learned.  Ties in frequency go to the smaller n-gram, ties in distance to the first language.
-Rows without language teach nothing.  Repeated rows each count.
+Rows without language teach nothing.  Repeated rows each count.  An empty table gives an empty table; a text
+of any length is ranked whole.  A kept column with the name of a column of the result has ``_in`` after it;
+other columns take no part.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, bound_batches
+from ._spark import arrow_map, bound_batches, free_name
 from ._text import text_buffers
 
 #: N-grams of a profile.
@@ -166,7 +168,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text: str = "te
 
     bound_batches(docs.sparkSession)
     out = inner.mapInArrow(run, StructType([*inner.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"c{i}").alias(free_name(c, ("lang_pred", "score"))) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
 def identify(docs: DataFrame, *, size: int = PROFILE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -15,7 +15,8 @@ told apart by 64-bit hashes.
 
 Edge cases: null counts as empty; an empty text is one token, the end.  Without training documents
 every count is 0 and the classes are equally likely.  A null doc_id counts as the empty text in the
-checksum.  Repeated rows are scored each, and each counts in training.
+checksum.  Repeated rows are scored each, and each counts in training.  An empty table gives an empty table; a
+text of any length is scored whole; words as frequent as each other go by their hash.  Other columns take no part.
 """
 
 from __future__ import annotations
@@ -206,6 +207,21 @@ def _score(batch: pa.RecordBatch, shared, offset: float) -> Iterator[dict]:
     yield {"doc_id": batch.column("_id"), "held_out": batch.column("held_out"), "row": batch.column("row"), "n_tokens": tokens, "n_known": known, "base": base, "score": score, "rare": rare, "times": times}
 
 
+def _threshold(words: DataFrame, top: int) -> tuple[int, int]:
+    """(n, h) so that some ``top`` words, and hardly more, have a greater count, or that count and a smaller hash.
+
+    Counts of words per count reach the driver; counts from 2**20 on go together, so they are a million at most.
+    """
+    most = 1 << 20
+    found = words.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).toArrow().to_pydict()
+    above = 0
+    for n, c in zip(found["n"], found["c"], strict=True):
+        if above + c > top and n < most:
+            return n, int((top - above) / c * 2**64) - 2**63
+        above += c
+    return 0, 0
+
+
 def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held_out: int = 2, top: int = TOP, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
@@ -214,11 +230,9 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     train = rows.where("not held_out").select("_text")
     counts = stored(arrow_map(train, _count, "h long, k int, n long").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n")))
     words = counts.where("k >= 0")
-    sizes = words.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toArrow().to_pydict()
-    running = np.cumsum(sizes["c"])
-    fit = int(np.searchsorted(running, top, side="right"))
-    least = sizes["n"][fit - 1] if fit else (sizes["n"][0] + 1 if sizes["n"] else 1)
-    often = words.where(F.col("n") >= least).select("h", "k", "n").toArrow()
+    least, cut = _threshold(words, top)
+    frequent = (F.col("n") > least) | ((F.col("n") == least) & (F.col("h") < cut))
+    often = words.where(frequent).select("h", "k", "n").toArrow()
     by_class = words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow().to_pydict()
     totals, types = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
     totals[by_class["k"]], types[by_class["k"]] = by_class["n"], by_class["v"]
@@ -234,7 +248,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     kind = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
     scored = stored(arrow_map(rows.withColumn("row", F.monotonically_increasing_id()), lambda b: _score(b, both, offset), kind))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
-    found = rare.join(words.where(F.col("n") < least).select("h", F.log10(F.col("n") + F.lit(1.0)).alias("g")), "h")
+    found = rare.join(words.where(~frequent).select("h", F.log10(F.col("n") + F.lit(1.0)).alias("g")), "h")
     more = found.groupBy("row").agg(F.sum(F.col("m") * F.col("g")).alias("g"), F.sum("m").alias("m"))
     out = scored.drop("rare", "times").join(more, "row", "left")
     gain = F.coalesce("g", F.lit(0.0))

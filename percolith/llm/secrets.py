@@ -9,7 +9,9 @@ excluding known digests (hexadecimal of a digest's length), UUIDs, runs without
 of which base spans leave fewer than ``REST`` characters is not reported again.
 
 Edge cases: null counts as empty; an empty text has no span and the digest of the empty string.
-Repeated rows are scanned each for itself.  Spans count code points of the text as it stands.
+Repeated rows are scanned each for itself.  Spans count code points of the text as it stands, of any length;
+spans that start together come in the order of their kinds.  An empty table gives an empty table; other
+columns take no part.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
 _PART = re.compile(r"([A-Za-z]*)\d{0,4}\Z")
+#: Letters of a part that may be anything, such as those of versions; numbers, dates and times.
+SHORT_PART = 4
+_NUMBER = re.compile(r"\d{1,8}([A-Za-z]\d{1,6})?[A-Za-z]?\Z")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _HEX_CLASS = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
@@ -60,8 +65,9 @@ def _encoding(path: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Words, dotted or joined names, versions and paths: each part is words with a few digits after, or digits."""
-    parts = [_PART.match(part) for part in re.split(r"[+/_.=-]+", run)]
+    """Words, dotted or joined names, versions, dates and paths: parts are short, or numbers, or words with a few digits after."""
+    long = [p for p in re.split(r"[+/_.=-]+", run) if len(p) > SHORT_PART and not _NUMBER.match(p)]
+    parts = [_PART.match(p) for p in long]
     if not all(parts) or re.search(r"[a-z][A-Z]{2,}[a-z]|[A-Z]{3,}\d", run):
         return False
     words = [w for m in parts for w in _WORD.findall(m[1])]
