@@ -10,11 +10,12 @@ group keeps links that lead out of it.  A layer is searched from the best ``STAR
 above.  Layers are flat arrays of neighbour numbers, -1 where there is none.  One more coordinate makes
 nearness by inner product nearness in space.
 
-Queries are taken in blocks; each block meets each shard, and the shards' best are merged.  Every row is
-indexed.  Found scores are inner products of the original vectors in double precision.
+Queries are taken in blocks; a shard's index stays in its task and the blocks, half a megabyte each, are
+streamed past it, and the shards' best are merged.  Every row is indexed.  Found scores are inner products of the original vectors in double precision.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without id,
-take no part; vectors of different lengths are apart; ties go to the smaller id.
+take no part; vectors of different lengths are apart; ties go to the smaller id.  Rows of
+one id are one row's own.  Empty tables give an empty table; other columns take no part.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, stored
+from ._spark import arrow_map, bound_batches, partitions, stored
 
 #: Points in a shard, links of a point (twice that on the lowest layer), beam in building and in search.
 SHARD, LINKS, BUILD_BEAM, BEAM = 8192, 16, 64, 128
-#: Query vectors in a block.
-QUERIES = 1024
+#: Query vectors in a block, and blocks that a copy of an index takes.
+QUERIES, BLOCKS = 1024, 64
 #: Points that a search of a layer starts from.
 STARTS = 32
 _STEP = 4
@@ -231,27 +232,31 @@ def _restored(x: np.ndarray, flat: np.ndarray, entry: int, links: int) -> Graph:
     return graph
 
 
-def _search(table: pa.Table, k: int, links: int, beam: int) -> pa.Table:
-    """One shard and one block of queries: the best ids by exact score, ``k`` + 1 a query vector."""
-    row = table.slice(0, 1).to_pylist()[0]
-    dim = row["dim"]
-    x = np.frombuffer(row["x"], np.float64).reshape(-1, dim)
-    lists, cuts = np.frombuffer(row["lists"], np.int64), np.frombuffer(row["cuts"], np.int64)
-    graph = _restored(x, np.frombuffer(row["flat"], np.int32), row["entry"], links)
-    q, keys = np.frombuffer(row["q"], np.float64).reshape(-1, dim), np.frombuffer(row["keys"], np.int64)
-    out_q, out_id, out_score = [], [], []
-    for i, found in enumerate(graph.search(q, beam)):
-        found = found[found >= 0]
-        score = (x[found] * q[i]).sum(axis=1)
-        count = cuts[found + 1] - cuts[found]
-        ids = np.concatenate([lists[cuts[p] : cuts[p + 1]] for p in found]) if len(found) else np.zeros(0, np.int64)
-        score = np.repeat(score, count)
-        best = np.lexsort((ids, -score))[: k + 1]
-        out_q.append(np.full(len(best), keys[i]))
-        out_id.append(ids[best])
-        out_score.append(score[best])
-    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return pa.table({"point": join(out_q, np.int64), "vec_id": join(out_id, np.int64), "score": join(out_score, np.float64)})
+def _search(batches: Iterator[pa.RecordBatch], k: int, links: int, beam: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (dim, shard, copy, part): a shard's index first, then the blocks of queries that are streamed
+    past it; for each block the best ids by exact score, ``k`` + 1 a query vector."""
+    graph = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            dim = row["dim"]
+            if row["part"] < 0:
+                x = np.frombuffer(row["x"], np.float64).reshape(-1, dim)
+                lists, cuts = np.frombuffer(row["lists"], np.int64), np.frombuffer(row["cuts"], np.int64)
+                graph = _restored(x, np.frombuffer(row["flat"], np.int32), row["entry"], links)
+                continue
+            q, keys = np.frombuffer(row["q"], np.float64).reshape(-1, dim), np.frombuffer(row["keys"], np.int64)
+            out_q, out_id, out_score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for i, found in enumerate(graph.search(q, beam)):
+                found = found[found >= 0]
+                score = (x[found] * q[i]).sum(axis=1)
+                count = cuts[found + 1] - cuts[found]
+                ids = np.concatenate([np.zeros(0, np.int64), *(lists[cuts[p] : cuts[p + 1]] for p in found)])
+                score = np.repeat(score, count)
+                best = np.lexsort((ids, -score))[: k + 1]
+                out_q.append(np.full(len(best), keys[i]))
+                out_id.append(ids[best])
+                out_score.append(score[best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_q, out_id, out_score)], names=["point", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, links: int = LINKS, build_beam: int = BUILD_BEAM, beam: int = BEAM) -> DataFrame:
@@ -269,8 +274,14 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "
     block = F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(parts))
     lists = points.where("asks").groupBy("dim", block.alias("part")).agg(F.collect_list(F.struct("point", "vec")).alias("found"))
     asks = arrow_map(lists, _packed, "dim int, part long, q binary, keys binary")
-    tasks = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(asks, ["dim", "part"])
-    hits = tasks.groupBy("dim", "shard", "part").applyInArrow(lambda t: _search(t, k, links, beam), "point long, vec_id long, score double")
+    # an index stays in its task while blocks are streamed past it; a few copies of it share many blocks
+    copies = parts // BLOCKS + 1
+    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    shard_of = index.select("dim", "shard").join(asks, "dim").withColumn("copy", F.pmod("part", F.lit(copies)).cast("int"))
+    rows_ = index.withColumn("copy", copy).withColumn("part", F.lit(-1).cast("long")).unionByName(shard_of, allowMissingColumns=True)
+    placed = rows_.repartition(partitions(vectors.sparkSession, shards * copies), "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "part")
+    bound_batches(vectors.sparkSession)
+    hits = placed.mapInArrow(lambda t: _search(t, k, links, beam), "point long, vec_id long, score double")
     order = Window.partitionBy("point").orderBy(F.desc("score"), "vec_id")
     best = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("point").agg(F.collect_list(F.struct("r", "vec_id", "score")).alias("best"))
     encoded = arrow_map(rows.where(F.col("id") % every == 0), _as_bytes, "id long, vec binary")
