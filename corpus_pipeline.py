@@ -6,8 +6,10 @@ near_dup       one document of each group of near duplicates stays
 decontaminate  documents that hold a benchmark window go
 bpe            token counts and digests of what is left
 
-All stages but the last return the columns of ``documents``; other columns are dropped.  Rows equal in
-doc_id and text are one document to near_dup.
+All stages but the last return the columns of ``documents``; other columns, whatever their names, are dropped.
+Rows equal in doc_id and text are one document to near_dup.  Nulls in any column are allowed: a null or empty
+text has no language, and a null doc_id is no smallest one.  Texts are read whole, whatever their length.  An
+empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -16,21 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from percolith.llm import bpe, decontaminate, language_id, line_dedup, near_dup
-from percolith.llm._spark import stored
+from percolith.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Least share of the greatest possible distance by which a document must be nearer to its language.
-MIN_SCORE = 0.05
+#: The cut is this share of the score that nearly all (all but ``LOWEST``) of at most ``SAMPLE`` labelled training documents reach.
+SHARE, LOWEST, SAMPLE = 0.5, 0.001, 20_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are like the profile of a language; a document without letters goes, as does one far from every profile.
+
+    Profiles are learned from all documents of the training fold, the cut from the scores of a bounded sample of them, so
+    it lies well under any of theirs.  Where nothing could be learned no document stays.  Repeated rows each stay or go.
+    """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
-    profiles = language_id.fit(docs.where(fold != 2))
+    train = docs.where(fold != 2)
+    profiles = language_id.fit(train)
+    sample = train.where("lang is not null and text is not null").select("text").limit(SAMPLE)
+    lowest = language_id.predict(sample, profiles, keep=[]).where("lang_pred <> 'und'").agg(F.percentile("score", F.lit(LOWEST))).first()[0]
     said = language_id.predict(docs, profiles, keep=COLUMNS)
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= SHARE * (lowest or 0.0))).select(*COLUMNS)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; one that is left with nothing goes, one that had nothing stays.
+
+    ``n_chars`` is that of the text left.  Rows without doc_id lose only what stands further up in themselves.
+    """
     out = line_dedup.deduplicate(docs, carry=COLUMNS)
     out = out.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -39,6 +53,10 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id; rows of one id go by the hash of their text.
+
+    Documents without words are no duplicates and all stay, those without doc_id only where no other of the group has one.
+    """
     near = near_dup.near_duplicates(docs, similarity=0.8).select("_id", "_th", "component")
     order = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_th"))
     stay = near.where("component is not null").groupBy("component").agg(F.min(order).alias("m")).select("m._id", "m._th", F.lit(False).alias("empty"))
@@ -50,11 +68,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item; with an empty benchmark all stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find(docs, benchmark, keep=COLUMNS).where("not contaminated").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token count and digests of every document; a null or empty text has no tokens."""
     return bpe.encode(docs, keep=["doc_id"])
 
 
