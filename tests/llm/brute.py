@@ -153,3 +153,109 @@ def op3_base(rows, folds=7, held=2):
     counts = Counter(w for i, ws in toks if not fold(i) for w in ws)
     n, v = sum(counts.values()), len(counts)
     return [(i, fold(i), len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks]
+
+
+def _fold(i, folds, held):
+    import zlib
+
+    return zlib.crc32(("" if i is None else str(i)).encode()) % folds == held
+
+
+def _letter_ngrams(text):
+    """Letter n-grams of 1 to 3 in a lower-cased text; words are padded with one blank."""
+    from collections import Counter
+
+    plain = "".join(c if c.isalpha() else " " for c in text.lower())
+    out = Counter()
+    for word in plain.split():
+        padded = f" {word} "
+        out.update(word)
+        out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return out
+
+
+def op6(rows, size=400, folds=4, held=2):
+    """(doc_id, held_out, lang_pred, score): out-of-place distance to each language's most frequent n-grams."""
+    from collections import Counter
+
+    def _code(g):
+        return tuple([0] * (3 - len(g)) + list(map(ord, g)))
+
+    def ranked(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], _code(x[0])))][:size]
+
+    learned = {}
+    for i, text, lang in rows:
+        if lang is not None and text and not _fold(i, folds, held):
+            learned.setdefault(lang, Counter()).update(_letter_ngrams(text))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in sorted(learned.items()) if c}
+    out = []
+    for i, text, _ in rows:
+        mine = ranked(_letter_ngrams(text or ""))
+        if not mine or not profiles:
+            out.append((i, _fold(i, folds, held), "und", 0.0))
+            continue
+        far = {lang: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        out.append((i, _fold(i, folds, held), best, 1.0 - far[best] / (size * len(mine))))
+    return out
+
+
+def op7_base(rows):
+    """(doc_id, n_assign, n_access, n_hex, base_sha256), scanned letter by letter without the patterns."""
+    import string
+
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+    keys = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+    def assigns(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        i = 0
+        while i < len(t):
+            hit = None
+            for k in keys:  # no key is the start of another that also fits
+                if low.startswith(k, i):
+                    j = i + len(k)
+                    j += j < len(t) and t[j] in "\"'"
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    if j < len(t) and t[j] in ":=":
+                        j += 1
+                        while j < len(t) and t[j] == " ":
+                            j += 1
+                        j += j < len(t) and t[j] in "\"'"
+                        e = j
+                        while e < len(t) and t[e] in value:
+                            e += 1
+                        if e > j:
+                            hit = (i, j, e)
+                            break
+            if hit:
+                if hit[2] - hit[1] >= 12:
+                    yield hit[0], 0, hit[2]
+                i = hit[2]
+            else:
+                i += 1
+
+    def runs(t, kind, head, letters, least):
+        i = 0
+        while i < len(t):
+            if t.startswith(head, i) and i + len(head) < len(t) + (not head) and (i + len(head) < len(t)) and t[i + len(head)] in letters:
+                e = i + len(head)
+                while e < len(t) and t[e] in letters:
+                    e += 1
+                if e - i >= least:
+                    yield i, kind, e
+                i = e
+            else:
+                i += 1
+
+    names = ("assign", "access", "hex")
+    out = []
+    for i, t in rows:
+        t = t or ""
+        found = sorted([*assigns(t), *runs(t, 1, "AKIA", set(string.ascii_uppercase + string.digits), 18), *runs(t, 2, "", set("0123456789abcdef"), 16)])
+        n = [sum(k == kind for _, k, _ in found) for kind in range(3)]
+        out.append((i, *n, sha(",".join(f"{names[k]}:{s}:{e}" for s, k, e in found))))
+    return out

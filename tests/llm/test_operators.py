@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from percolith.llm import ann, bpe, decontaminate, language_id, line_dedup, lm, near_dup, phrase_dedup, secrets, suffix_dedup
@@ -286,3 +287,137 @@ def test_empty_tables(spark, empty):
     assert lm.score(empty, steps=1).count() == 0
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert decontaminate.find(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string"), keep=["doc_id"]).count() == 0
+
+
+def test_language_id_against_plain_counting(spark, rows, docs):
+    """Ties in counts, accents, texts of one letter, nulls and copies included."""
+    triples = [(r[0], r[1], ("en", "de", None)[(r[0] or 0) % 3]) for r in rows]
+    triples += [(5000 + k, x, lang) for k, (x, lang) in enumerate([("aaa aaa", "en"), ("Ärger über Öl", "de"), ("İstanbul ſ ß", "de"), ("a1b2c3", "en"), ("日本語 テキスト", "ja"), ("日本", "ja"), ("x", "en"), ("--", "de")])]
+    df = spark.createDataFrame(triples, "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language_id.identify(df).collect()), key=key)
+    assert got == sorted(((a, b, c, round(d, 9)) for a, b, c, d in brute.op6(triples)), key=key)
+
+
+def test_secret_base_against_a_plain_scan(spark, rows):
+    rng = random.Random(5)
+    pieces = ["password", "PassWd", "secret", "Token", "api_key", "apikey", "API_KEY", "=", ":", " ", "  ", '"', "'", "AKIA", "akia", "ABCDEFGHIJKLMNOP0", "abcdef0123456789", "0123456789abcdef", "xyz-_./+=", "é", "ſecret", "\n", "Z", "a", "deadbeef"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + [r[1] for r in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    same(secrets.scan(df).drop("spans"), brute.op7_base(list(enumerate(texts))))
+
+
+def test_planted_keys_are_found_and_prose_is_not(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.choice([20, 24, 32, 40]))) for _ in range(400)]
+    plain = ["getUserAccountBalanceById2", "org.apache.spark.sql.functions", "internationalization", "some_very_long_variable_name_2", "/usr/local/lib/python3.13/site-packages", "2024-01-31T23-59-59", "Donaudampfschifffahrtsgesellschaft", "https//example.org/index.html", "v1.2.3-rc.4-linux-x86", "electroencephalographically"]
+    texts = [f"a {k} b" for k in keys] + [f"see {p} here" for p in plain]
+    out = [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    found = [f"dense:2:{2 + len(k)}" in x for k, x in zip(keys, out)]
+    assert sum(found) / len(found) >= 0.97 and not any("dense" in x for x in out[len(keys) :])
+
+
+def test_lm_scores_are_the_model_s(docs, rows):
+    """Scores again from the table of the network and plain counts, token by token."""
+    import math
+
+    df = docs.dropDuplicates(["doc_id", "text"])
+    seen = {}
+    fit = lm.LogBilinear.fit
+
+    def kept(self, cells, counts, steps=lm.STEPS, **more):
+        seen["model"] = fit(self, cells, counts, steps, **more)
+        return seen["model"]
+
+    lm.LogBilinear.fit = kept
+    try:
+        got = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.score(df, steps=30).collect()}
+    finally:
+        lm.LogBilinear.fit = fit
+    pairs_ = list(dict.fromkeys(pairs(rows)))
+    words = lambda t: brute.SPACE_WORD.findall((t or "").translate(brute.LOWER))
+    counts = {}
+    train = [t for i, t in pairs_ if not brute._fold(i, 7, 2)]
+    for t in train:
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    hashes = {}
+    for w in {w for _, t in pairs_ for w in words(t)}:
+        block = next(iter(lm.blocks(pa.array([w.encode()]))))
+        x = lm.Words(block, "folded")
+        hashes[w] = int(x.hash.view(np.int64)[0]), int(lm.shared_class(block.buf, x)[0])
+    order = sorted(counts, key=lambda w: (-counts[w], hashes[w][0]))
+    of = {w: 1 + k if k < lm.SINGLE else 1 + lm.SINGLE + hashes[w][1] for k, w in enumerate(order)}
+    total, kinds = {}, {}
+    for w in order[lm.SINGLE :]:
+        total[of[w]], kinds[of[w]] = total.get(of[w], 0) + counts[w], kinds.get(of[w], 0) + 1
+    c = 1 + lm.SINGLE + lm.SHARED
+    table = seen["model"].table().reshape(c, c, c)
+    plain = {x[:1] + x[2:3] + (round(x[5], 6),): x for x in brute.op3_base(pairs_)}
+    for i, t in pairs_:
+        path = [of.get(w, 1 + lm.SINGLE + hashes[w][1]) for w in words(t)]
+        score = sum(math.log10((counts.get(w, 0) + 1) / (total.get(k, 0) + kinds.get(k, 0) + 1)) for w, k in zip(words(t), path) if k > lm.SINGLE)
+        path = [0, 0, *path, 0]
+        score += sum(table[a, b, k] for a, b, k in zip(path, path[1:], path[2:]))
+        mine = [v for (d, n, _), v in got.items() if d == i and n == len(path) - 2]
+        assert any(abs(v - score) < 1e-6 * max(1, abs(score)) for v in mine), (i, score, mine)
+    assert len(plain) == len(got)
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    v = {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [0.5, -0.5], 3: [0.5, 0.2], 4: [0.4, 9.0], 20: [1.0, 0.0]}
+    out = ann.nearest(spark.createDataFrame([(k, x) for k, x in v.items()], "vec_id long, embedding array<double>"), k=4, every=20).collect()
+    found = {q: [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20)}
+    assert found == {0: [20, 1, 2, 3], 20: [0, 1, 2, 3]}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column and in every row, and columns with the names of results, of helpers, and with a dot."""
+    schema = "doc_id long, text string, lang string, `a.b` string, score string, n_words string, n_tokens string, kept string, _row string, _text string, bucket string, node string"
+    return spark.createDataFrame([(None,) * 12, (None,) * 12, (1, *(None,) * 11)], schema)
+
+
+def test_rows_of_nulls_and_clashing_names(spark, odd):
+    keep = [c for c in odd.columns if c != "text"]
+    assert [r.n_bytes for r in suffix_dedup.deduplicate(odd).collect()] == [0, 0, 0]
+    assert [r.n_words for r in phrase_dedup.deduplicate(odd).collect()] == [0, 0, 0]
+    assert [r.n_shingles for r in near_dup.near_duplicates(odd).collect()] == [0, 0, 0]
+    assert [r.spans for r in secrets.scan(odd).collect()] == [""] * 3
+    assert {r.n_tokens for r in lm.score(odd, steps=1).collect()} == {1}
+    lines = line_dedup.deduplicate(odd, carry=keep)
+    assert lines.columns == [*[c + "_in" if c == "kept" else c for c in keep], "n_lines", "n_removed", "n_runs", "kept_sha256", "kept"] and lines.count() == 3
+    said = language_id.predict(odd, {"en": np.array([97], np.uint64)}, keep=keep)
+    assert "score_in" in said.columns and {r.lang_pred for r in said.collect()} == {"und"}
+    ids = bpe.encode(odd, keep=keep)
+    assert "n_tokens_in" in ids.columns and "a.b" in ids.columns and {r.n_tokens for r in ids.collect()} == {0}
+    hits = decontaminate.find(odd, spark.createDataFrame([(1, "a b"), (None, None)], "item_id long, text string"), keep=keep)
+    assert "n_words_in" in hits.columns and {r.n_hit for r in hits.collect()} == {0}
+
+
+def test_very_long_texts(spark, empty):
+    """Texts of 3 MB, one the other's copy but for its head, go through every operator whole."""
+    rng = random.Random(2)
+    word = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    long = " ".join(rng.choice(word) + (".\n" if k % 12 == 0 else "") for k in range(450_000))
+    texts = [(1, long), (2, "another head\n" + long), (3, "short")]
+    df = spark.createDataFrame([(k, t, "en") for k, t in texts], "doc_id long, text string, lang string")
+    size = len(long)
+    assert size > 2_500_000
+    cut = {r.doc_id: r for r in suffix_dedup.deduplicate(df).collect()}
+    assert cut[1].n_removed == size and cut[2].n_bytes - cut[2].n_removed == 13 and cut[3].n_removed == 0
+    phrases = {r.doc_id: r for r in phrase_dedup.deduplicate(df).collect()}
+    assert phrases[1].n_removed == 0 and phrases[2].n_words - phrases[2].n_removed == 2
+    near = {r._id: r for r in near_dup.near_duplicates(df, similarity=0.85).collect()}
+    assert near[2].component_id == 1 and not near[2].kept and near[3].kept
+    lines = {r.doc_id: r for r in line_dedup.deduplicate(df).collect()}
+    assert lines[1].n_removed < 5 and lines[2].kept.startswith("another head")
+    t = _tokenizer()
+    tokens = {r.doc_id: r for r in bpe.encode(df, keep=["doc_id"]).collect()}
+    assert all(tokens[k].ids_sha256 == brute.sha(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()) for k, x in texts)
+    item = " ".join(long.split()[-12:])
+    hits = {r.doc_id: r.n_hit for r in decontaminate.find(df, spark.createDataFrame([(1, item)], "item_id long, text string"), keep=["doc_id"]).collect()}
+    assert hits[1] >= 12 and hits[2] >= 12 and hits[3] == 0
+    assert all(r.n_assign == 0 for r in secrets.scan(df).collect())
+    assert {r.doc_id: r.n_tokens for r in lm.score(df, steps=2).collect()} == {k: len(x.split()) + 1 for k, x in texts}
+    assert all(0 <= r.score <= 1 for r in language_id.identify(df).collect())
