@@ -3,7 +3,9 @@
     python -m percolith.cli analyze PROJECT.json [--skip-removal] [--save FOLDER]
     python -m percolith.cli structure FILE --species X --moving-atom-index N --end-frac a,b,c [--shift a,b,c]
     python -m percolith.cli graph-csv --nodes N.csv --edges E.csv [--barrier-column NAME]
-    python -m percolith.cli validate
+    python -m percolith.cli examples --metrics M.csv [--comparison M2.csv]
+    python -m percolith.cli paper --nodes N.csv --edges E.csv --metrics M.csv [--graph-id G] [--recompute]
+    python -m percolith.cli validate [--nodes N.csv --edges E.csv --metrics M.csv]
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import kernel
 from .plans.analyze import analyze
 from .sources import readers, sinks
 
-#: Toy graphs: one node with loops along the first axes; (edges, rank, thresholds).
+# Toy graphs, nodes, edges, rank and thresholds along the axes.
 TOYS = [
     (2, [("e0", 0, 1, (0, 0, 0), 0.1)], 0, (None, None, None)),
     (1, [("ea", 0, 0, (1, 0, 0), 0.2)], 1, (0.2, None, None)),
@@ -64,28 +67,73 @@ def main(argv: Sequence[str] | None = None) -> int:
     three.add_argument("--nodes", required=True)
     three.add_argument("--edges", required=True)
     three.add_argument("--barrier-column", default="barrier_eV")
-    sub.add_parser("validate")
+    cases = {}
+    for name in ("examples", "paper", "validate"):
+        cases[name] = sub.add_parser(name)
+        cases[name].add_argument("--metrics", required=name != "validate")
+        if name != "examples":
+            cases[name].add_argument("--nodes", required=name == "paper")
+            cases[name].add_argument("--edges", required=name == "paper")
+    cases["examples"].add_argument("--comparison")
+    cases["paper"].add_argument("--graph-id")
+    cases["paper"].add_argument("--recompute", action="store_true")
     args = parser.parse_args(argv)
+    if args.status_file:
+        _status(args.status_file, {"state": "running", "command": args.command})
+    try:
+        status = _run(args)
+    except Exception as error:
+        if args.status_file:
+            _status(args.status_file, {"state": "failed", "command": args.command, "ok": False, "error": f"{type(error).__name__}: {error}"})
+        raise
+    if args.status_file:
+        _status(args.status_file, {"state": "done" if status["ok"] else "failed", "command": args.command, "folder": args.save} | status)
+    print(json.dumps({"ok": status["ok"]}))
+    return 0 if status["ok"] else 1
+
+
+def _status(path: str, what: dict) -> None:
+    Path(path).write_text(json.dumps(what, default=str), encoding="utf-8")
+
+
+def _cases(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """All cases of the tables, or the one asked for, each held against its saved figures."""
+    nodes, edges = readers.case_tables(spark, args.nodes, args.edges)
+    metrics = readers.case_metrics(spark, args.metrics)
+    asked = [args.graph_id] if getattr(args, "graph_id", None) else [r.graph_id for r in metrics.select("graph_id").orderBy("graph_id").collect()]
+    return [readers.load_case(nodes, edges, metrics, g, recompute=getattr(args, "recompute", True)) for g in asked]
+
+
+def _run(args: argparse.Namespace) -> dict:
     if args.command == "validate":
         bad = validate()
         status = {"ok": not bad, "failed": bad}
-    else:
-        spark = SparkSession.builder.appName("percolith").getOrCreate()
-        if args.command == "graph-csv":
-            nodes, edges = readers.load_graph_csv(spark, args.nodes, args.edges, args.barrier_column)
-        else:
-            projects = readers.load_projects(spark, args.path) if args.command == "analyze" else readers.project_from_structure(readers.load_structures(spark, args.path), args.species, args.moving_atom_index, args.end_frac, args.shift)
-            nodes, edges = readers.project_tables(projects)
-        result = analyze(nodes, edges, with_removal=not getattr(args, "skip_removal", False))
-        for row in result["readout"].drop("critical").toJSON().toLocalIterator():
+        if args.nodes and args.edges and args.metrics:
+            status["cases"] = len(_cases(SparkSession.builder.appName("percolith").getOrCreate(), args))
+        return status
+    spark = SparkSession.builder.appName("percolith").getOrCreate()
+    if args.command == "examples":
+        base = readers.case_metrics(spark, args.metrics)
+        listed = readers.catalog(base, readers.case_metrics(spark, args.comparison), "base", "comparison") if args.comparison else base.withColumn("family", F.lit("base"))
+        for row in listed.orderBy("family", "graph_id").toJSON().toLocalIterator():
             print(row)
-        status = {"ok": True}
-        if args.save:
-            status["manifest"] = sinks.save_run(result, args.save, language=args.language)
-    if args.status_file:
-        Path(args.status_file).write_text(json.dumps(status, default=str), encoding="utf-8")
-    print(json.dumps({"ok": status["ok"]}))
-    return 0 if status["ok"] else 1
+        return {"ok": True}
+    if args.command == "paper":
+        for case in _cases(spark, args):
+            print(json.dumps(case["metrics"], default=str))
+        return {"ok": True}
+    if args.command == "graph-csv":
+        nodes, edges = readers.load_graph_csv(spark, args.nodes, args.edges, args.barrier_column)
+    else:
+        projects = readers.load_projects(spark, args.path) if args.command == "analyze" else readers.project_from_structure(readers.load_structures(spark, args.path), args.species, args.moving_atom_index, args.end_frac, args.shift)
+        nodes, edges = readers.project_tables(projects)
+    result = analyze(nodes, edges, with_removal=not getattr(args, "skip_removal", False))
+    for row in result["readout"].drop("critical").toJSON().toLocalIterator():
+        print(row)
+    status = {"ok": True}
+    if args.save:
+        status["manifest"] = sinks.save_run(result, args.save, language=args.language)
+    return status
 
 
 if __name__ == "__main__":

@@ -6,15 +6,17 @@ registry gives a kernel-free linear model and a feature-subset forest in their p
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from . import selection, stats
 from .checks import CheckError, require_none
 
@@ -69,6 +71,29 @@ class Fitted:
         return out.select("_row.*", "prediction")
 
 
+    def save(self, folder: str) -> None:
+        """Parameters as JSON and the pipeline in Spark's own form, below one folder."""
+        spark = SparkSession.active()
+        sinks.write_file(spark, json.dumps({"name": self.name, "label": self.label, "medians": self.medians, "scaling": {k: list(v) for k, v in self.scaling.items()}, "mean": self.mean}), f"{folder}/parameters.json")
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{folder}/pipeline")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Fitted:
+        from pyspark.ml import PipelineModel
+
+        out, said = cls.__new__(cls), _read_json(spark, f"{folder}/parameters.json")
+        out.name, out.label, out.medians, out.mean = said["name"], said["label"], said["medians"], said["mean"]
+        out.scaling = {k: tuple(v) for k, v in said["scaling"].items()}
+        out.inputs = [c for m in out.medians for c in (m, f"{m}_missing")]
+        out.model = PipelineModel.load(f"{folder}/pipeline") if out.mean is None else None
+        return out
+
+
+def _read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def out_of_fold(df: DataFrame, folds: DataFrame, name: str, features: Sequence[str], label: str, group: str, key: str, base_seed: int = 7) -> DataFrame:
     """Every row predicted by the model that didn't see its fold; ``folds`` is (group, fold)."""
     from ..functions.text import derived_seed
@@ -85,10 +110,10 @@ def out_of_fold(df: DataFrame, folds: DataFrame, name: str, features: Sequence[s
     return out
 
 
-def metrics(predictions: DataFrame, label: str, group: str) -> DataFrame:
+def metrics(predictions: DataFrame, label: str, group: str, with_kendall: bool = True) -> DataFrame:
     """Metrics of one model's out-of-fold predictions, and the spread of its folds."""
     folds = predictions.groupBy("fold").agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("m")).agg(F.avg("m").alias("fold_mae"), F.stddev_pop("m").alias("fold_mae_std"))
-    return stats.regression_metrics(predictions, label, "prediction", group).crossJoin(F.broadcast(folds))  # one row each
+    return stats.regression_metrics(predictions, label, "prediction", group, with_kendall).crossJoin(F.broadcast(folds))  # one row each
 
 
 def nested_selection(df: DataFrame, folds: DataFrame, names: Sequence[str], features: Sequence[str], label: str, group: str, key: str, inner: int = 3) -> DataFrame:
@@ -100,7 +125,7 @@ def nested_selection(df: DataFrame, folds: DataFrame, names: Sequence[str], feat
         parts = selection.group_kfold(train, group, inner)
         table = None
         for name in names:
-            row = metrics(out_of_fold(train, parts, name, features, label, group, key), label, group).withColumn("model", F.lit(name))
+            row = metrics(out_of_fold(train, parts, name, features, label, group, key), label, group, False).withColumn("model", F.lit(name))
             table = row if table is None else table.unionByName(row)
         best = stats.rank_models(table).where("rank = 1").first()["model"]
         part = Fitted(best, train, features, label).predict(test).withColumn("model", F.lit(best))
@@ -157,16 +182,68 @@ class Domain:
         top = scored.groupBy(graph).agg(F.max("distance").alias("distance"))
         return stats.weighted_percentile(own, "distance", "w", top, "distance")
 
+    def save(self, folder: str) -> None:
+        """Parameters as JSON; the embedded training rows and reference distances as Parquet."""
+        sinks.write_file(self.train.sparkSession, json.dumps(self.parameters() | {"limits": {str(k): v for k, v in self.limits.items()}, "blocks": {b: list(c) for b, c in self.blocks.items()}, "group": self.group, "key": self.key}), f"{folder}/parameters.json")
+        self.train.write.mode("overwrite").parquet(f"{folder}/train")
+        self.reference.write.mode("overwrite").parquet(f"{folder}/reference")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Domain:
+        out, said = cls.__new__(cls), _read_json(spark, f"{folder}/parameters.json")
+        out.blocks, out.group, out.key, out.nearest, out.medians = said["blocks"], said["group"], said["key"], said["nearest"], said["medians"]
+        out.scaling = {k: tuple(v) for k, v in said["scaling"].items()}
+        out.matrix, out.limits = np.array(said["matrix"]), {float(k): v for k, v in said["limits"].items()}
+        out.train, out.reference = spark.read.parquet(f"{folder}/train"), spark.read.parquet(f"{folder}/reference")
+        return out
+
     def parameters(self) -> dict:
         return {"medians": self.medians, "scaling": self.scaling, "matrix": self.matrix.tolist(), "limits": self.limits, "nearest": self.nearest}
 
 
+class FrozenModel:
+    """A fitted model with its conformal half-widths and its domain, as one thing that is saved, loaded and asked.
+
+    ``predict`` gives prediction, lower and upper bounds of each level, distance to the domain with its percentile
+    and warnings, and, for a forest, the spread of its trees.
+    """
+
+    def __init__(self, fitted: Fitted, widths: dict[float, float], domain: Domain):
+        self.fitted, self.widths, self.domain = fitted, widths, domain
+
+    @classmethod
+    def fit(cls, name: str, train: DataFrame, calibration: DataFrame, blocks: dict[str, Sequence[str]], label: str, group: str, key: str, levels: Sequence[float] = (0.8, 0.9)) -> FrozenModel:
+        fitted = Fitted(name, train, [c for cs in blocks.values() for c in cs], label)
+        widths = stats.conformal_fit(fitted.predict(calibration), group, label, "prediction", levels).collect()
+        return cls(fitted, {r.level: r.half_width for r in widths}, Domain(train, blocks, group, key))
+
+    def save(self, folder: str) -> None:
+        self.fitted.save(f"{folder}/model")
+        self.domain.save(f"{folder}/domain")
+        sinks.write_file(SparkSession.active(), json.dumps({str(k): v for k, v in self.widths.items()}), f"{folder}/widths.json")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> FrozenModel:
+        return cls(Fitted.load(spark, f"{folder}/model"), {float(k): v for k, v in _read_json(spark, f"{folder}/widths.json").items()}, Domain.load(spark, f"{folder}/domain"))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        key, out = self.domain.key, self.fitted.predict(df)
+        for level, width in sorted(self.widths.items()):
+            name = round(100 * level)
+            out = out.withColumns({f"lower{name}": F.col("prediction") - width, f"upper{name}": F.col("prediction") + width})
+        score = self.domain.score(df)
+        out = out.join(score.select(key, F.col("distance").alias("ood_distance"), F.col("percentile").alias("ood_percentile"), *[c for c in score.columns if c.startswith("warning_")]), key)
+        if self.fitted.model is not None and hasattr(self.fitted.model.stages[-1], "trees"):
+            spread = stats.spread(tree_predictions(self.fitted, df).withColumnRenamed("prediction", "_p"), key, "_p")
+            out = out.join(spread.select(key, F.col("spread").alias("ensemble_spread")), key)
+        return out
+
+
 def tree_predictions(fitted: Fitted, df: DataFrame) -> DataFrame:
     """(key columns, tree, prediction) of every tree of a forest, for the spread among them."""
     forest = fitted.model.stages[-1]
     ready = fitted.model.stages[0].transform(stats.scale(stats.impute(df.withColumn("_row", F.struct(*df.columns)), fitted.medians), fitted.scaling))
-    out = None
-    for i, tree in enumerate(forest.trees):
-        part = tree.transform(ready).select("_row.*", F.lit(i).alias("tree"), "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = [f"_p{i}" for i in range(len(forest.trees))]
+    for name, tree in zip(names, forest.trees, strict=True):
+        ready = tree.copy().setPredictionCol(name).transform(ready)
+    return ready.select("_row.*", F.posexplode(F.array(*names)).alias("tree", "prediction"))

@@ -178,8 +178,8 @@ def weighted_percentile(reference: DataFrame, column: str, weight: str, queries:
     return queries.join(found, query)
 
 
-def regression_metrics(df: DataFrame, truth: str, predicted: str, group: str) -> DataFrame:
-    """One row: mae, rmse, median_ae, r2, spearman, kendall, macro_group_mae and its population deviation."""
+def regression_metrics(df: DataFrame, truth: str, predicted: str, group: str, with_kendall: bool = True) -> DataFrame:
+    """One row: mae, rmse, median_ae, r2, spearman, kendall (if asked), macro_group_mae and its population deviation."""
     e = F.abs(F.col(truth) - F.col(predicted))
     basic = df.agg(
         F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(e).alias("median_ae"),
@@ -188,7 +188,8 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, group: str) ->
     groups = df.groupBy(group).agg(F.avg(e).alias("m")).agg(F.avg("m").alias("macro_group_mae"), F.stddev_pop("m").alias("macro_group_mae_std"))
     ranked = average_ranks(average_ranks(df.select(truth, predicted), truth, "_rt"), predicted, "_rp")
     spearman = ranked.agg(F.corr("_rt", "_rp").alias("spearman"))
-    return basic.crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(spearman)).crossJoin(F.broadcast(kendall(df, truth, predicted)))
+    out = basic.crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(spearman))
+    return out.crossJoin(F.broadcast(kendall(df, truth, predicted))) if with_kendall else out
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:

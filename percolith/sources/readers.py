@@ -126,6 +126,25 @@ def catalog(base: DataFrame, other: DataFrame, base_family: str, other_family: s
     return base.withColumn("family", F.lit(base_family)).unionByName(other.withColumn("family", F.lit(other_family)), allowMissingColumns=True)
 
 
+def case_tables(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of many saved cases, as ``load_graph_csv`` reads those of one."""
+    n = read_csv(spark, nodes).withColumn("frac_coords", F.from_json("frac_coords", "array<double>"))
+    e = read_csv(spark, edges)
+    barrier = next((c for c in ("barrier_eV", "predicted_barrier_eV") if c in e.columns), None)
+    if barrier is None:
+        raise CheckError("the edges have no barrier column")
+    e = e.select("graph_id", "edge_uid", "node_i", "node_j", *[F.col(f"image_shift_{x}").cast("int").alias(x) for x in AXES], T.finite_or_null(F.col(barrier)).alias("barrier"))
+    return n.select("graph_id", "node_id", "frac_coords"), e
+
+
+def case_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Saved figures of cases, a row a graph: counts and thresholds in the engine's names, blanks as nulls."""
+    df = read_csv(spark, path)
+    counts = {"n_nodes": "node_count", "n_edges": "edge_count"}
+    out = [F.col("graph_id")] + [F.col(was).cast("int").alias(now) for was, now in counts.items() if was in df.columns]
+    return df.select(*out, *[T.finite_or_null(F.col(f"Eperc_{x}")).alias(f"eperc_{x}") for x in AXES if f"Eperc_{x}" in df.columns])
+
+
 def load_case(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, graph_id: str, recompute: bool = False, tolerance: float = 1e-8) -> dict:
     """Nodes, edges and figures of one case; with ``recompute`` its thresholds must come out again."""
     from ..operators import network
