@@ -175,12 +175,12 @@ def _removed(r: int) -> str:
  g{r} as (select gid, cut uid, min(t) filter (n = s and abs(a) = 1 and b = 0 and c = 0) ra, min(t) filter (n = s and a = 0 and abs(b) = 1 and c = 0) rb, min(t) filter (n = s and a = 0 and b = 0 and abs(c) = 1) rc from z{r} group by 1, 2)"""
 
 
-_REMOVED = f""" lim as (select gid, bar t from (select distinct gid, bar from e) join (select graph_id gid, greatest(eperc_a, eperc_b, eperc_c) m from th) using (gid) where bar <= m + 0.1),
+_REMOVED = f""" lim as (select gid, bar t from (select distinct gid, bar from e) join (select graph_id gid, greatest(eperc_a, eperc_b, eperc_c) m from th) using (gid) where bar <= m + 0.2),
  dd as (select gid, uid, bar, ni, nj, a, b, c from en union all select gid, uid, bar, nj, ni, -a, -b, -c from en),{_removed(1)},{_removed(2)},
  gone as (select gid, uid, g2.ra, g2.rb, g2.rc, g1.ra is not distinct from g2.ra and g1.rb is not distinct from g2.rb and g1.rc is not distinct from g2.rc sure from g1 join g2 using (gid, uid))"""
 
 
-@query(_with(f", {_CRITICAL}, {_REMOVED} select en.gid graph_id, en.uid edge_uid, if(crit.uid is null, 'NONCRITICAL_ZERO_SCREENED', 'CRITICAL_EXACTLY_RECOMPUTED') screen_status, coalesce(directions, '') critical_directions, " + ", ".join(f"case when crit.uid is null then 0.0 when sure then round(greatest(0, r{x} - eperc_{x}), 9) end::double delta_eperc_{x}, if(crit.uid is null or sure, r{x} is null and crit.uid is not null, null) lost_{x}" for x in "abc") + ", 0 rank_loss from en join th on th.graph_id = en.gid left join crit on crit.gid = en.gid and crit.uid = en.uid left join gone on gone.gid = en.gid and gone.uid = en.uid"))
+@query(_with(f", {_CRITICAL}, {_REMOVED} select en.gid graph_id, en.uid edge_uid, if(crit.uid is null, 'NONCRITICAL_ZERO_SCREENED', 'CRITICAL_EXACTLY_RECOMPUTED') screen_status, coalesce(directions, '') critical_directions, " + ", ".join(f"case when eperc_{x} is null then null when crit.uid is null then 0.0 when sure and r{x} is not null then round(greatest(0, r{x} - eperc_{x}), 9) end::double delta_eperc_{x}, if(crit.uid is null or sure, eperc_{x} is not null and r{x} is null and crit.uid is not null, null) lost_{x}" for x in "abc") + ", 0 rank_loss from en join th on th.graph_id = en.gid left join crit on crit.gid = en.gid and crit.uid = en.uid left join gone on gone.gid = en.gid and gone.uid = en.uid"))
 def graph_edge_removal(spark, sf):
     """What every edge's removal changes; readouts that don't converge are reported, not raised."""
     out = network.edge_removal(nodes(spark, sf), edges(spark, sf), strict=False)
