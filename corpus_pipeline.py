@@ -21,21 +21,21 @@ from percolith.llm import bpe, decontaminate, language_id, line_dedup, near_dup
 from percolith.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The cut is this share of the score that nearly all (all but ``LOWEST``) of at most ``SAMPLE`` labelled training documents reach.
-SHARE, LOWEST, SAMPLE = 0.5, 0.001, 20_000
+#: The cut is this share of the score that all training documents but ``LOWEST`` of them reach.
+SHARE, LOWEST = 0.5, 0.001
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are like the profile of a language; a document without letters goes, as does one far from every profile.
 
-    Profiles are learned from all documents of the training fold, the cut from the scores of a bounded sample of them, so
-    it lies well under any of theirs.  Where nothing could be learned no document stays.  Repeated rows each stay or go.
+    Profiles are learned from all documents of the training fold, and the cut from their scores (a sketch of bounded
+    size), so it lies well under theirs.  Where nothing could be learned no document stays.  Repeated rows each stay or go.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     train = docs.where(fold != 2)
     profiles = language_id.fit(train)
-    sample = train.where("lang is not null and text is not null").select("text").limit(SAMPLE)
-    lowest = language_id.predict(sample, profiles, keep=[]).where("lang_pred <> 'und'").agg(F.percentile("score", F.lit(LOWEST))).first()[0]
+    known = language_id.predict(train.where("lang is not null").select("text"), profiles, keep=[]).where("lang_pred <> 'und'")
+    lowest = known.agg(F.percentile_approx("score", LOWEST, 100_000)).first()[0]
     said = language_id.predict(docs, profiles, keep=COLUMNS)
     return said.where((F.col("lang_pred") != "und") & (F.col("score") >= SHARE * (lowest or 0.0))).select(*COLUMNS)
 
