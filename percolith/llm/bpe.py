@@ -39,7 +39,7 @@ from ._text import Block, Words, as_letters, blocks, byte_grams, mix, ranges, sp
 #: Mean chunk length in bytes (a power of two), longest chunk that is shared, chunks in the dictionary.
 MEAN_CHUNK, MAX_CHUNK, DICTIONARY = 1024, 8192, 4096
 #: Words in a worker's memo, at most; they take some 40 MB.
-MEMO = 1 << 20
+MEMO = 1 << 19
 #: Most words either side of a join that are encoded again; where they don't agree, the whole document is.
 WINDOW = 64
 _GRAM = 16
