@@ -16,13 +16,12 @@ BLOCKS = {"a": ["x"], "b": ["y"]}
 
 
 def test_out_of_fold_and_selection(data):
-    folds = selection.group_kfold(data, "group", 3)
+    folds = selection.group_kfold(data, "group", 2)
     out = models.out_of_fold(data, folds, "svr", ["x", "y"], "label", "group", "key")
     assert out.count() == 120 and out.select("key").distinct().count() == 120
     good, mean = (models.metrics(models.out_of_fold(data, folds, m, ["x", "y"], "label", "group", "key"), "label", "group", False).first() for m in ("svr", "dummy_mean"))
     assert good.mae < 0.2 < mean.mae and good.fold_mae_std >= 0
-    two = selection.group_kfold(data, "group", 2)
-    picked = models.nested_selection(data, two, ["dummy_mean", "svr"], ["x", "y"], "label", "group", "key", inner=2)
+    picked = models.nested_selection(data, folds, ["dummy_mean", "svr"], ["x", "y"], "label", "group", "key", inner=2)
     assert {r.model for r in picked.select("model").distinct().collect()} == {"svr"} and picked.count() == 120
     with pytest.raises(checks.CheckError):
         models.estimator("none", "label", 1)
