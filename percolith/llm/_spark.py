@@ -15,7 +15,7 @@ from ..shared import drop, shared_folder, stored
 #: Key of a row: its doc_id and a hash of its text.  Rows equal in both get equal results from every operator here.
 KEY = ["_id", "_th"]
 #: Bytes of an Arrow batch, or one row if that is longer.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def keyed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -192,6 +192,11 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield as_batch({"a": a, "b": b}, _LINKS)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Stored in an eighth of the usual number of files: for tables that hold a few numbers a class, which need fewer tasks."""
+    return stored(df.coalesce(max(8, partitions(df.sparkSession) // 8)))
+
+
 def links(pool: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (centre, node), those similar enough on their full sets, as (a, b).
 
@@ -202,7 +207,7 @@ def links(pool: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     parts = (F.col("m") / GROUP).cast("int") + 1
     dealt = pairs.join(size, "centre").select("centre", F.pmod(F.xxhash64("node"), parts).cast("long").alias("part"), "node")
     own = size.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"), F.col("centre").alias("node"))
-    asked = stored(dealt.unionByName(own))
+    asked = _few(dealt.unionByName(own))
     bitmap = spark.sparkContext.broadcast(key_filter(asked.select("node"), "node"))
     sets = arrow_map(pool.select("node", "elements"), lambda b: _asked(b, bitmap), "node long, elements binary")
     ready = asked.join(sets, "node").select("centre", "part", "node", "elements")
@@ -219,13 +224,13 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread along edges and then jump to their label's label, so rounds grow with the logarithm of
     the longest path.  All rounds are joins; only a count reaches the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    both = _few(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = _few(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stored(step.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")))
+        new = _few(step.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")))
         drop(labels)
         labels = new
         if not new.where("old <> label").limit(1).count():
@@ -310,12 +315,12 @@ def _agreeing(batch: pa.RecordBatch, percent: int) -> Iterator[dict]:
 def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels of all nodes after new links: components of the labels that links join, then one look-up."""
     named = edges.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
-    joined = stored(named.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    joined = _few(named.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     out = labels
     if joined.limit(1).count():
         found = components(joined)
         top = found.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        out = stored(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        out = _few(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
         drop(labels, found)
     drop(joined, edges)
     return out
@@ -363,15 +368,15 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int =
     least = members.groupBy("key").agg(F.min("node").alias("centre"))
     stars = members.join(least, "key").groupBy("node").agg(F.min("centre").alias("centre")).where("centre < node")
     stars = stars.join(bits, "node").join(bits.withColumnsRenamed({"node": "centre", "bits": "others"}), "centre")
-    fresh = stored(arrow_map(stars, lambda b: _agreeing(b, percent), "centre long, node long"))
-    tested, labels, most = [fresh], stored(known.select("node", F.col("node").alias("label"))), 1
+    fresh = _few(arrow_map(stars, lambda b: _agreeing(b, percent), "centre long, node long"))
+    tested, labels, most = [fresh], _few(known.select("node", F.col("node").alias("label"))), 1
     while True:
         labels = _merge(labels, links(pool, fresh.where("centre is not null"), percent))
         while True:  # until there is something to compare, or nothing left to name
             listed, before = _candidates(members, labels, known, percent, most), tested[0]
             for x in tested[1:]:
                 before = before.union(x)
-            fresh = stored(listed.join(before, ["centre", "node"], "left_anti"))
+            fresh = _few(listed.join(before, ["centre", "node"], "left_anti"))
             state = fresh.agg(F.count("centre").alias("pairs"), F.count_if(F.col("centre").isNull()).alias("more")).first()
             most *= MORE
             if state["pairs"] or not state["more"]:
